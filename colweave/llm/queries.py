@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, langid, mixing, pii, quality, secretscan, simhash
+from . import decontaminate, embeddings, langid, mixing, pii, quality, repeats, secretscan, simhash, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,12 +44,28 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove(table(spark, sf_dir, "documents")))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash, op2_secrets, op3_pii, op4_decontaminate, op5_mix, op7_quality, op8_embeddings, op10_language)
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_secrets,
+        op3_pii,
+        op4_decontaminate,
+        op5_mix,
+        op6_urls,
+        op7_quality,
+        op8_embeddings,
+        op9_repeats,
+        op10_language,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE_SQL.format(documents="documents")}
+ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE_SQL.format(documents="documents"), "op6_urls": urlfilter.oracle_sql()}
