@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: smaller there than a checkpoint, for large rows."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
 
@@ -82,9 +90,13 @@ def sample_rows(df: DataFrame, id_column: str, rows: int) -> DataFrame:
 Span = tuple[int, int, str]
 
 
-def joined(spans: Iterable[Span], kinds: list[str]) -> str:
-    """kind:start:end by start, then by the order of kinds."""
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], kinds.index(s[2]), s[1])))
+SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
+
+
+def span_rows(base: Iterable[Span], more: Iterable[Span], kinds: list[str]) -> list[dict]:
+    """Spans as structs by start, then by the order of kinds."""
+    both = [(a, kinds.index(k), b, True) for a, b, k in base] + [(a, kinds.index(k), b, False) for a, b, k in more]
+    return [{"kind": kinds[k], "start": a, "end": b, "base": base} for a, k, b, base in sorted(both)]
 
 
 def outside(spans: Iterable[Span], taken: Iterable[Span]) -> list[Span]:

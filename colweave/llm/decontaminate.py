@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,8 +180,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "
 
 
 def _holds(shared):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         items = Items([x for x in shared.value if len(x[1]) >= LEAST_CHARS], ERROR_RATE)

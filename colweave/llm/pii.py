@@ -11,9 +11,7 @@ digits that their kind needs.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Span, joined, map_rows, outside, sample_rows
+from .common import SPANS, Span, map_rows, outside, sample_rows, span_rows
 
 # Kinds in order, and the formats of the contract.
 KINDS = ["email", "ip", "card", "phone"]
@@ -311,27 +309,21 @@ def learn(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
 
 
 def find(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: counts of the fixed formats, and all spans in code points, ends exclusive.
+    """One row per input row: doc_id and spans, structs of kind, start, end and base.
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans.
-    Null texts count as empty; repeated rows and null ids each give their row; where
-    the sample has no fixed span nothing is learned and none is added; an empty
-    table gives no rows. Other columns are not read.
+    Positions are code points, ends exclusive; spans are ordered by start, then kind;
+    base marks those of the fixed formats. Null texts count as empty; repeated rows
+    and null ids each give their row; where the sample has no fixed span nothing is
+    learned and none is added; an empty table gives no rows. Other columns are not read.
     """
     finder = documents.sparkSession.sparkContext.broadcast(learn(documents, id_column, text))
 
     def found(ids, texts):
-        texts = [t or "" for t in texts]
-        for i, (base, more) in zip(ids, finder.value(texts), strict=True):
-            n = Counter(k for _, _, k in base)
-            digest = hashlib.sha256(joined(base, KINDS).encode()).hexdigest()
-            yield i, *(n[k] for k in KINDS), len(more), digest, joined(base + more, KINDS)
-
-    return map_rows(
-        documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")),
-        found,
-        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string",
-    )
+        for i, (base, more) in zip(ids, finder.value([t or "" for t in texts]), strict=True):
+            yield i, span_rows(base, more, KINDS)
+
+    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_rows(rows, found, f"doc_id long, spans {SPANS}")
 
 
 def masked(text: str, spans: list[Span]) -> str:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, langid, mixing, pii, quality, repeats, secretscan, simhash, urlfilter
 from .common import table
@@ -12,16 +13,30 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def span_digest(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """doc_id, n_<kind> of the base spans, base_sha256 and spans, from doc_id and an array of spans."""
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.scan(table(spark, sf_dir, "documents"))
+    return span_digest(secretscan.scan(table(spark, sf_dir, "documents")), secretscan.KINDS[:3])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return span_digest(pii.find(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,6 @@ them for whole runs.
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, is_empty
+from .common import is_empty, stash
 
 LENGTH = 200
 STEP = 40
@@ -192,13 +191,6 @@ def _intervals(flags: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, z + LENGTH - 1
 
 
-def _stash(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the shared folder: smaller there than a checkpoint."""
-    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -275,10 +267,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans(documents: DataFrame) -> DataFrame:
     """(k1, k2, text) -> (k1, k2, s, e): stretches of repeats, overlapping ones too."""
-    every = _stash(documents.mapInArrow(_of_documents, "g long, d long, k1 long, k2 long, s int, e int, again boolean"))
+    every = stash(documents.mapInArrow(_of_documents, "g long, d long, k1 long, k2 long, s int, e int, again boolean"))
     keys = every.groupBy("g").agg(F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("z"), F.max("again").alias("twice"))
     keys = keys.where("n > 1 or twice").select("g", F.expr("a <> z or (twice and n = 1)").alias("mixed"))
-    some = _stash(every.join(keys, "g"))
+    some = stash(every.join(keys, "g"))
     out = some.where("not mixed").select("k1", "k2", "s", "e")
     some = some.where("mixed").drop("mixed").withColumn("live", F.lit(True))
     texts = None
@@ -289,7 +281,7 @@ def _spans(documents: DataFrame) -> DataFrame:
         known = some.join(classes.select("g", "d", "n"), ["g", "d"]).join(groups, "g")
         known = known.where("all > 1 or any")
         if level:
-            known = _stash(known)
+            known = stash(known)
         out = out.unionByName(known.where("n > 1 and live").select("k1", "k2", "s", "e"))
         open_ = known.where("kinds > 1 or any")
         columns = ["k1", "k2", "s", "e"] + ["t"] * bool(level)
@@ -316,7 +308,7 @@ def _spans(documents: DataFrame) -> DataFrame:
         if more is None or level + 1 == len(LEVELS):
             break
         schema = "g long, d long, k1 long, k2 long, s int, e int, again boolean, live boolean, t binary"
-        some = _stash(more.mapInArrow(functools.partial(_of_texts, size=LEVELS[level + 1]), schema))
+        some = stash(more.mapInArrow(functools.partial(_of_texts, size=LEVELS[level + 1]), schema))
     found = texts.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "k1 long, k2 long, s int, e int")
     return out.unionByName(found)
 
