@@ -1 +1,14 @@
-"""Columnar expressions, aggregates and corpus operators on Spark."""
+"""Columnar expressions and aggregates on Spark, with exact fixed-width semantics."""
+
+from .plans.expr import aggregate, call, case_when, case_x_when, cast, col, const, gather, index, lit, null, pack, scatter, splat, store
+from .plans.program import Lookup, Program, Result, SafetyCheckFailed, Table, Target, query, table
+from .plans.sql import LowerError, ParseError, parse
+from .session import Prepared, Session, create
+from .types import BOOL, F32, F64, I8, I16, I32, I64, I128, U8, U16, U32, U64, TypeMismatch, timestamp
+
+__all__ = [
+    "BOOL", "F32", "F64", "I128", "I16", "I32", "I64", "I8", "U16", "U32", "U64", "U8",
+    "LowerError", "Lookup", "ParseError", "Prepared", "Program", "Result", "SafetyCheckFailed", "Session", "Table", "Target", "TypeMismatch",
+    "aggregate", "call", "case_when", "case_x_when", "cast", "col", "const", "create", "gather", "index", "lit", "null", "pack", "parse",
+    "query", "scatter", "splat", "store", "table", "timestamp",
+]
