@@ -184,12 +184,18 @@ def _unary(name: str, apply, kinds=("int", "float")):
         return v.but(fit(out, v.dtype) if v.dtype.integer else out.cast(v.dtype.carrier))
 
 
+def _whole(c: Column, rounded: Column) -> Column:
+    """A rounded double that stays one: large values are whole already, and zero keeps the sign of what it was."""
+    near = F.when(rounded == 0, c * F.lit(0.0)).otherwise(rounded.cast("double"))
+    return F.when(F.abs(c) < 2.0**52, near).otherwise(c)
+
+
 def _floor(c: Column) -> Column:
-    return F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c)
+    return _whole(c, F.floor(c))
 
 
 def _ceil(c: Column) -> Column:
-    return F.when(F.abs(c) < 2.0**52, F.ceil(c).cast("double")).otherwise(c)
+    return _whole(c, F.ceil(c))
 
 
 _unary("negate", lambda v: -v.column, ("int", "uint", "float"))

@@ -268,7 +268,7 @@ SAMPLES: dict[str, Sample] = {
     ),
     "popcnt_lzcnt": Sample(
         "INPUT (qty i32, prt32 i32, ord32 i32) SELECT abs(-qty) + popcnt(prt32) + lzcnt(ord32) AS counted",
-        "CAST(ABS(-qty) + bit_count(prt32) + (32 - length(bin(ord32))) AS INT) AS counted",
+        "CAST(ABS(-qty) + bit_count(prt32) + CASE WHEN ord32 = 0 THEN 32 ELSE 32 - length(bin(ord32)) END AS INT) AS counted",
     ),
     "hash_mix": Sample(
         """INPUT (ord32 i32, disc i32, qty i32)

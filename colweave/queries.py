@@ -262,7 +262,7 @@ ORACLE_SQL["gather_nation"] = "SELECT c_custkey, n_regionkey AS region FROM cust
 
 # Groups by a dense index.
 place = c("line") - 1
-GROUPED = "SELECT line - 1 AS idx, {} FROM " + derived(["line", "price", "qty", "qn", "ord", "three", "returned"]) + " GROUP BY 1"
+GROUPED = "SELECT CAST(line - 1 AS BIGINT) AS idx, {} FROM " + derived(["line", "price", "qty", "qn", "ord", "three", "returned"]) + " GROUP BY 1"
 
 
 def group(name: str, e: Expr, oracle: str, table=None) -> None:
@@ -320,18 +320,18 @@ register(
 
 # Bits.
 register("bits_popcnt", {"v": c("price").popcnt(), "w": c("ord32").popcnt()}, "CAST(bit_count(price) AS BIGINT) AS v, CAST(bit_count(ord32) AS INT) AS w")
-register("bits_lzcnt", {"v": c("ord").lzcnt(), "w": c("line16").lzcnt()}, "CAST(64 - length(bin(ord)) AS BIGINT) AS v, CAST(16 - length(bin(line16)) AS SMALLINT) AS w")
+register("bits_lzcnt", {"v": c("ord").lzcnt(), "w": c("line16").lzcnt()}, "CAST(CASE WHEN ord = 0 THEN 64 ELSE 64 - length(bin(ord)) END AS BIGINT) AS v, CAST(16 - length(bin(line16)) AS SMALLINT) AS w")
 register("bits_tzcnt", {"v": c("ord").tzcnt()}, "CAST(bit_count((ord & -ord) - 1) AS BIGINT) AS v")
-register("bits_log2", {"v": c("ord").log2(), "n": c("ord").log2_no_zero()}, "CAST(length(bin(ord)) - 1 AS BIGINT) AS v, CAST(length(bin(ord)) - 1 AS BIGINT) AS n")
+register("bits_log2", {"v": c("ord").log2(), "n": (c("ord") + 1).log2_no_zero()}, "CAST(length(bin(ord)) - 1 AS BIGINT) AS v, CAST(length(bin(ord + 1)) - 1 AS BIGINT) AS n")
 register(
     "bits_floor_ceil",
     {"f": c("ord").bit_floor(), "u": c("ord").bit_ceil(), "one": c("ord").has_single_bit()},
-    "CAST(1 AS BIGINT) << (length(bin(ord)) - 1) AS f, CASE WHEN ord <= 1 THEN 1 ELSE CAST(1 AS BIGINT) << length(bin(ord - 1)) END AS u, (ord & (ord - 1)) = 0 AS one",
+    "CASE WHEN ord = 0 THEN 0 ELSE CAST(1 AS BIGINT) << (length(bin(ord)) - 1) END AS f, CASE WHEN ord <= 1 THEN 1 ELSE CAST(1 AS BIGINT) << length(bin(ord - 1)) END AS u, (ord & (ord - 1)) = 0 AS one",
 )
 register(
     "bits_byteswap",
     {"v": c("line16").byteswap(), "w": call("zext", c("prt16"), to=I32).byteswap().srl(16)},
-    "CAST(line16 * 256 AS SMALLINT) AS v, CAST((prt16 & 255) * 256 + (prt16 >> 8) AS INT) AS w",
+    "CAST(line16 * 256 AS SMALLINT) AS v, CAST(CAST(prt16 & 255 AS INT) * 256 + (prt16 >> 8) AS INT) AS w",
 )
 register(
     "bits_rot",
@@ -351,7 +351,7 @@ register(
 register(
     "bits_permute",
     {"swap": c("price").permute_i64_i32(idxs=[1, 0]).srl(32), "low": call("permute", call("zext", c("prt16"), to=I32), idxs=[1, 0, 2, 3])},
-    "price & 4294967295 AS swap, CAST((prt16 & 255) * 256 + (prt16 >> 8) AS INT) AS low",
+    "price & 4294967295 AS swap, CAST(CAST(prt16 & 255 AS INT) * 256 + (prt16 >> 8) AS INT) AS low",
 )
 register("bits_sign", {"s": (c("qty") - 25).sign(), "z": (c("qty") - 25).sign_no_zero(), "cp": call("copysign", c("delay"), c("qty") - 25)},
          "CASE WHEN qty < 25 THEN -1 WHEN qty = 25 THEN 0 ELSE 1 END AS s, CASE WHEN qty < 25 THEN -1 ELSE 1 END AS z, CASE WHEN qty < 25 THEN -delay WHEN qty = 25 THEN 0 ELSE delay END AS cp")
