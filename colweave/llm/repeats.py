@@ -40,8 +40,8 @@ STEP = 40
 #: Lengths of the strings whose least hash is a window's key, level by level; the last is the window.
 LEVELS = (64, 128, 176, 200)
 GROUP = 256
-SHARD_BYTES = 1 << 18
-TASK_BYTES = 1 << 21
+SHARD_BYTES = 1 << 17
+TASK_BYTES = 1 << 19
 
 _TABLE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.random.default_rng(6).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
