@@ -9,10 +9,12 @@ from .common import is_empty, settle
 
 
 def _mix(x: Column) -> Column:
-    """A bijection on longs whose order looks random, so that long chains of ids contract fast."""
-    x = x.bitwiseXOR(F.shiftleft(x, 13))
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
-    return x.bitwiseXOR(F.shiftleft(x, 17))
+    """A bijection on longs whose order looks random, so that long chains of ids contract fast: a Feistel network of hashes."""
+    low = F.lit(0xFFFFFFFF)
+    left, right = F.shiftrightunsigned(x, 32), x.bitwiseAND(low)
+    for key in range(3):
+        left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(key)).bitwiseAND(low))
+    return F.shiftleft(left, 32).bitwiseOR(right)
 
 
 def components(edges: DataFrame) -> DataFrame:
