@@ -51,14 +51,17 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp): one row per input row; fp is the signed long of the 64 bits."""
+    """(doc_id, digest, fp): one row per input row; fp is the signed long of the 64 bits, digest a hash of the text as it is."""
 
-    def made(ids, texts):
-        for i, t in zip(ids, texts, strict=True):
-            x = fingerprint(t)
-            yield i, x - (1 << 64) if x >> 63 else x
+    def made(ids, digests, texts):
+        for i, d, t in zip(ids, digests, texts, strict=True):
+            yield i, d, _signed(fingerprint(t))
 
-    return map_rows(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")), made, "doc_id long, fp long")
+    return map_rows(
+        documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text")),
+        made,
+        "doc_id long, digest long, fp long",
+    )
 
 
 class Tree:
@@ -168,6 +171,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return dealt.repartition("m", "v", "i", "j").sortWithinPartitions("m", "v", "i", "j").mapInArrow(found, "a long, b long")
 
 
+def _named(documents: DataFrame, id_column: str, text: str, radius: int) -> DataFrame:
+    """(doc_id, digest, fp, component_id)."""
+    made = settle(fingerprints(documents, id_column, text))
+    distinct = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    root = components(links(distinct.select("fp"), radius))
+    joined = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left")
+    least = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
+    named = joined.join(least, "root", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
+    return made.join(named, "fp")
+
+
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """Cluster documents whose fingerprints link at radius or fewer differing bits.
 
@@ -177,29 +191,26 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     component of their fingerprint (null only if no id is known there); an empty
     table gives no rows; other columns are not read.
     """
-    made = settle(fingerprints(documents, id_column, text))
-    distinct = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(distinct.select("fp"), radius))
-    joined = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left")
-    least = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
-    named = joined.join(least, "root", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
-    return made.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return _named(documents, id_column, text, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with one document of each group: the one with the smallest id.
 
-    Of rows that repeat the id one stays; rows without an id all stay where no row
-    of their group has one.
+    Of rows that repeat the id one stays, that with the least digest. Where no row of a
+    group has an id, one row of each of its texts stays.
     """
-    near = near_duplicates(documents, id_column, text)
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept"))
-    kept = settle(kept.agg(F.count("*").alias("_rows")))
-    key = documents[id_column].cast("long").eqNullSafe(F.col("_kept"))
-    repeated = kept.where("_rows > 1 and _kept is not null")
+    kept = _named(documents, id_column, text, RADIUS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    one = one.unionByName(kept.where("doc_id is null").select("doc_id", "digest").distinct())
+    rows = kept.groupBy("doc_id", "digest").agg(F.count("*").alias("_rows"))
+    one = settle(one.alias("o").join(rows.alias("r"), F.expr("o.doc_id <=> r.doc_id and o.digest = r.digest")).select("o.doc_id", "o.digest", "_rows"))
+
+    def among(chosen: DataFrame) -> DataFrame:
+        same = documents[id_column].cast("long").eqNullSafe(chosen["doc_id"]) & (F.xxhash64(documents[text]) == chosen["digest"])
+        return documents.join(chosen, same, "left_semi")
+
+    repeated = one.where("_rows > 1")
     if is_empty(repeated):
-        return documents.join(kept, key, "left_semi")
-    once = documents.join(kept.where("_rows = 1 or _kept is null"), key, "left_semi")
-    return once.unionByName(documents.join(repeated, key, "left_semi").dropDuplicates([id_column]))
+        return among(one)
+    return among(one.where("_rows = 1")).unionByName(among(repeated).dropDuplicates([id_column, text]))
