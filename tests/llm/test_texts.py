@@ -90,7 +90,7 @@ def private(rng):
 
 def test_private(docs, rng):
     rows = [(k, f"{prose(rng, words=15)} {private(rng)} {prose(rng, words=15)}") for k in range(150)]
-    rows += [(200, None), (201, ""), (202, "1" * 100_000 + "@" * 5000 + "+1 " * 5000), (203, "😀é x@y.zz 1.2.3.4"), (0, rows[0][1]), (None, rows[1][1])]
+    rows += [(200, None), (201, ""), (202, "1" * 4000 + "@" * 3000 + "+1 " * 3000), (203, "😀é x@y.zz 1.2.3.4"), (0, rows[0][1]), (None, rows[1][1])]
     got = pii.find(docs(rows)).collect()
     assert len(got) == len(rows)
     by_id = {r["doc_id"]: r["spans"] for r in got}
