@@ -38,9 +38,12 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder: smaller there than a checkpoint, for large rows."""
+    """Cut lineage with a Parquet table in the shared folder: smaller there than a checkpoint, for large rows.
+
+    It has a few files for each core at most, however many partitions a skewed stage was cut into.
+    """
     path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -280,8 +280,6 @@ def _spans(documents: DataFrame) -> DataFrame:
         groups = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.max("twice").alias("any"), F.sum("n").alias("all"))
         known = some.join(classes.select("g", "d", "n"), ["g", "d"]).join(groups, "g")
         known = known.where("all > 1 or any")
-        if level:
-            known = stash(known)
         out = out.unionByName(known.where("n > 1 and live").select("k1", "k2", "s", "e"))
         open_ = known.where("kinds > 1 or any")
         columns = ["k1", "k2", "s", "e"] + ["t"] * bool(level)
