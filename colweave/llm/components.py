@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,21 @@ def components(edges: DataFrame) -> DataFrame:
     if first:
         return label.where("false")
     return settle(label)
+
+
+class Labels:
+    """Components of a shard's members, merged by arrays of pairs; a root is its least member."""
+
+    def __init__(self, n: int) -> None:
+        self.at = np.arange(n)
+
+    def link(self, p: np.ndarray, q: np.ndarray) -> None:
+        while True:
+            a, b = self.at[p], self.at[q]
+            apart = a != b
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.at, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(jumped := self.at[self.at], self.at):
+                self.at = jumped

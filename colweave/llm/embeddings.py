@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_empty, settle
-from .components import components
+from .components import Labels, components
 
 COSINE = 0.98
 BLOCK = 8
@@ -91,24 +91,6 @@ def cells(classes: DataFrame, cosine: float) -> DataFrame:
     return classes.select("cls", "label", "embedding").mapInArrow(made, "cls long, label long, d int, b int, x int, y int, own boolean")
 
 
-class _Labels:
-    """Components of a shard's vectors, merged by arrays of pairs."""
-
-    def __init__(self, n: int) -> None:
-        self.at = np.arange(n)
-
-    def link(self, p: np.ndarray, q: np.ndarray) -> None:
-        while True:
-            a, b = self.at[p], self.at[q]
-            apart = a != b
-            if not apart.any():
-                return
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.at, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(jumped := self.at[self.at], self.at):
-                self.at = jumped
-
-
 def join_shard(cls: np.ndarray, weight: np.ndarray, own: np.ndarray, side: np.ndarray, vectors: np.ndarray, b: int, cosine: float):
     """(cls, links, root) of the vectors of a shard that have links this shard counts.
 
@@ -119,7 +101,7 @@ def join_shard(cls: np.ndarray, weight: np.ndarray, own: np.ndarray, side: np.nd
     turned, r = u @ rotation(d), radii(d, cosine)
     near = turned[:, blocks(d)[b]]
     square = (near**2).sum(1)
-    labels, links = _Labels(len(cls)), np.zeros(len(cls), np.int64)
+    labels, links = Labels(len(cls)), np.zeros(len(cls), np.int64)
     alone = not side.any()
     first, second = (np.arange(len(cls)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for k in range(0, len(first), 512):

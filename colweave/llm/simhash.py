@@ -1,13 +1,20 @@
 """SimHash near-duplicates with sharded BK-trees.
 
-Fingerprints are made in one pass over the texts. Two fingerprints of 64 bits
-within radius r agree on one of r+1 blocks, and on one of r+1 sub-blocks of the
-remaining bits, so each distinct fingerprint goes to (r+1)^2 keys of about 35
+near_duplicates links fingerprints of three-word shingles. Two fingerprints of 64
+bits within radius r agree on one of r+1 blocks, and on one of r+1 sub-blocks of
+the remaining bits, so each distinct fingerprint goes to (r+1)^2 keys of about 35
 bits. Every key that holds several fingerprints is a shard: a task builds its
 BK-tree (children keyed by integer Hamming distance to the parent) and follows
-only edges within the radius. A key with more than SHARD fingerprints is cut
-into shards, and each pair of shards becomes a task of its own, so that no task
-grows with the data. Only a spanning forest of each shard's links leaves it.
+only edges within the radius.
+
+deduplicate groups documents of similarity 0.8 or more on five-word shingles.
+Such pairs differ in up to about 20 bits, too many for blocks of bits, so there
+documents that share a min-hash make a shard; its BK-tree gives the pairs within
+the radius, and their min-hashes decide.
+
+A key with more members than a shard holds is cut, and each pair of shards
+becomes a task of its own, so that no task grows with the data. Only a spanning
+forest of each shard's links leaves it.
 """
 
 from __future__ import annotations
@@ -20,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, map_rows, settle
-from .components import components
+from .common import is_empty, map_rows, settle, stash
+from .components import Labels, components
 
 WORDS = 3
 SEED = 42
@@ -51,17 +58,13 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, fp): one row per input row; fp is the signed long of the 64 bits, digest a hash of the text as it is."""
+    """(doc_id, fp): one row per input row; fp is the signed long of the 64 bits."""
 
-    def made(ids, digests, texts):
-        for i, d, t in zip(ids, digests, texts, strict=True):
-            yield i, d, _signed(fingerprint(t))
+    def made(ids, texts):
+        for i, t in zip(ids, texts, strict=True):
+            yield i, _signed(fingerprint(t))
 
-    return map_rows(
-        documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text")),
-        made,
-        "doc_id long, digest long, fp long",
-    )
+    return map_rows(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")), made, "doc_id long, fp long")
 
 
 class Tree:
@@ -171,36 +174,171 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return dealt.repartition("m", "v", "i", "j").sortWithinPartitions("m", "v", "i", "j").mapInArrow(found, "a long, b long")
 
 
-def _named(documents: DataFrame, id_column: str, text: str, radius: int) -> DataFrame:
-    """(doc_id, digest, fp, component_id)."""
+def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """Cluster documents whose fingerprints link at radius or fewer differing bits.
+
+    Returns doc_id, fingerprint (16 hex digits) and component_id, the smallest id
+    reachable. Null, empty and blank texts have fingerprint zero and link like any
+    other; repeated rows stay and share a component; rows with a null id keep the
+    component of their fingerprint (null only if no id is known there); an empty
+    table gives no rows; other columns are not read.
+    """
     made = settle(fingerprints(documents, id_column, text))
     distinct = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(distinct.select("fp"), radius))
     joined = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left")
     least = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
     named = joined.join(least, "root", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
-    return made.join(named, "fp")
+    return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+class FlatTree:
+    """A BK-tree in arrays, for many queries at once."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        children: list[dict[int, int]] = [{} for _ in values]
+        for k, x in enumerate(values.tolist()):
+            at = 0
+            while k and (d := (int(values[at]) ^ x).bit_count()) in children[at]:
+                at = children[at][d]
+            if k:
+                children[at][d] = k
+        self.values = values
+        self.first = np.cumsum([0, *map(len, children)])
+        self.child = np.array([c for n in children for c in n.values()], np.int64)
+        self.edge = np.array([d for n in children for d in n], np.int64)
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) for every pair within the radius, following only edges that can lead there."""
+        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(q):
+            d = np.bitwise_count(self.values[node] ^ queries[q]).astype(np.int64)
+            hit = d <= radius
+            found.append((q[hit], node[hit]))
+            many = self.first[node + 1] - self.first[node]
+            from_pair = np.repeat(np.arange(len(q)), many)
+            place = np.arange(len(from_pair)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[node], many)
+            close = np.abs(self.edge[place] - d[from_pair]) <= radius
+            q, node = q[from_pair[close]], self.child[place[close]]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+STAGE_WORDS, STAGE_RADIUS, SIMILARITY = 5, 20, 0.8
+SKETCH, KEYS, STAGE_SHARD = 256, 8, 4096
+_MIX = np.random.default_rng(8).integers(0, 2**63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str | None) -> tuple[int, int, bytes, list[int]]:
+    """(digest of the set of shingles, fingerprint, min-hashes of 16 bits, whole min-hashes that serve as keys)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    whole = b" ".join(words)
+    if len(words) <= STAGE_WORDS:
+        parts = [whole]
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        parts = [whole[s:e] for s, e in zip([0, *(ends[:-STAGE_WORDS] + 1).tolist()], ends[STAGE_WORDS - 1 :].tolist(), strict=True)]
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64))
+    ones = np.zeros(64, np.int64)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        part = hashes[k : k + 2048]
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        mixed = part[:, None] * _MIX[0] + _MIX[1]
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(0))
+    fp = int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if words else 0
+    digest = xxhash.xxh3_64_intdigest(hashes.tobytes())
+    return _signed(digest), _signed(fp), (least >> np.uint64(16)).astype(np.uint16).tobytes(), least[:KEYS].view(np.int64).tolist()
+
+
+def similar(classes: DataFrame, shard: int | None = None) -> DataFrame:
+    """(cls, fp, sketch, keys) -> (a, b): links that span every group of classes with similarity of SIMILARITY or more.
+
+    Two sets of similarity 0.8 have one of KEYS min-hashes in common but for one case in 400,000;
+    the classes that share one make a shard. Its BK-tree gives the pairs within STAGE_RADIUS, and
+    their min-hashes the similarity, to a standard error of 0.025.
+    """
+    shard = shard or STAGE_SHARD
+    keyed = classes.select("cls", F.posexplode("keys").alias("m", "v"))
+    sizes = keyed.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = keyed.join(sizes, ["m", "v"]).withColumn("c", F.ceil(F.col("n") / shard).cast("int"))
+    mine = F.pmod(F.xxhash64("cls"), F.col("c")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    dealt = keyed.withColumn("s", mine).withColumn("t", F.explode(each)).select("m", "v", "t.i", "t.j", "s", "cls")
+    dealt = dealt.join(classes.select("cls", "fp", "sketch"), "cls").select("m", "v", "i", "j", "s", "cls", "fp", "sketch")
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        side = np.array([s != i for i, s, *_ in rows])
+        ids = [r[2] for r in rows]
+        prints = np.array([r[3] & ONES for r in rows], np.uint64)
+        sketches = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
+        own = np.flatnonzero(~side)
+        asked = np.flatnonzero(side) if side.any() else own
+        if not len(own) or not len(asked):
+            return
+        tree, labels = FlatTree(prints[own]), Labels(len(rows))
+        for k in range(0, len(asked), 256):
+            q, member = tree.near(prints[asked[k : k + 256]], STAGE_RADIUS)
+            p, q = asked[k : k + 256][q], own[member]
+            for j in range(0, len(p), 16384):
+                a, b = p[j : j + 16384], q[j : j + 16384]
+                apart = labels.at[a] != labels.at[b]
+                a, b = a[apart], b[apart]
+                alike = (sketches[a] == sketches[b]).mean(1) >= SIMILARITY
+                labels.link(a[alike], b[alike])
+        for k in np.flatnonzero(labels.at != np.arange(len(rows))).tolist():
+            yield ids[k], ids[int(labels.at[k])]
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for batch in batches:
+            for m, v, i, j, s, cls, fp, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (m, v, i, j) != key:
+                    if len(held) > 1:
+                        out += pairs(held)
+                    key, held = (m, v, i, j), []
+                held.append((i, s, cls, fp, marks))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if len(held) > 1:
+            out += pairs(held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Cluster documents whose fingerprints link at radius or fewer differing bits.
+    return dealt.repartition("m", "v", "i", "j").sortWithinPartitions("m", "v", "i", "j").mapInArrow(found, "a long, b long")
 
-    Returns doc_id, fingerprint (16 hex digits) and component_id, the smallest id
-    reachable. Null, empty and blank texts have fingerprint zero and link like any
-    other; repeated rows stay and share a component; rows with a null id keep the
-    component of their fingerprint (null only if no id is known there); an empty
-    table gives no rows; other columns are not read.
+
+def similar_groups(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, digest, component_id): groups of documents linked by a similarity of SIMILARITY or more on five-word shingles.
+
+    digest is a hash of the text as it is. Documents with equal sets of shingles are one class. Texts without words
+    are alike; a text of five words or fewer is one shingle; the smallest id reachable names a group, and is null
+    where no id is known there.
     """
-    return _named(documents, id_column, text, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    def made(ids, digests, texts):
+        for i, d, t in zip(ids, digests, texts, strict=True):
+            yield i, d, *sketch(t)
+
+    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    rows = stash(map_rows(rows, made, "doc_id long, digest long, cls long, fp long, sketch binary, keys array<long>"))
+    least = rows.groupBy("cls").agg(F.min("doc_id").alias("least"))
+    firsts = rows.groupBy("cls").agg(F.max("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("keys").alias("keys"))
+    root = components(similar(settle(firsts)))
+    joined = least.join(root.withColumnRenamed("node", "cls"), "cls", "left")
+    whole = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
+    named = joined.join(whole, "root", "left").select("cls", F.coalesce("whole", "least").alias("component_id"))
+    return rows.select("doc_id", "digest", "cls").join(named, "cls").select("doc_id", "digest", "component_id")
 
 
 def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents with one document of each group: the one with the smallest id.
+    """Documents with one document of each group of similar_groups: the one with the smallest id.
 
     Of rows that repeat the id one stays, that with the least digest. Where no row of a
     group has an id, one row of each of its texts stays.
     """
-    kept = _named(documents, id_column, text, RADIUS).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = settle(similar_groups(documents, id_column, text)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
     one = one.unionByName(kept.where("doc_id is null").select("doc_id", "digest").distinct())
     rows = kept.groupBy("doc_id", "digest").agg(F.count("*").alias("_rows"))
