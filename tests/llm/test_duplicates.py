@@ -91,14 +91,41 @@ def test_simhash_shards(spark):
         assert closure(values, lambda a, b: frozenset((a, b)) in pairs) == want
 
 
-def test_deduplicate(docs, rng):
-    rows = corpus(rng)
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_deduplicate(docs, rng, monkeypatch):
+    """One row of every group linked at a similarity of 0.8; pairs nearer to 0.8 than the sketch's error are not in the rows."""
+    texts = [prose(rng, words=rng.randrange(60, 200)) for _ in range(40)]
+    for k in range(30):
+        words = texts[k].split()
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    texts += [texts[3], texts[3].upper(), None, "", " \n", "one two", "ONE two", "one two three", "w " * 30_000]
+    sets = [shingles(t) for t in texts]
+    alike = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    unclear = {k for k in range(len(texts)) if any(0.72 < alike[k][j] < 0.88 for j in range(len(texts)))}
+    rows = [(k, t) for k, t in enumerate(texts) if k not in unclear]
+    component = closure([k for k, _ in rows], lambda a, b: alike[a][b] >= 0.8)
+    rows += [(3, texts[3]), (None, texts[3]), (None, "no other text is like this one, which has no id"), (None, "no other text is like this one, which has no id")]
     frame = docs(rows)
-    groups = {r["component_id"] for r in simhash.near_duplicates(frame).collect()}
-    kept = simhash.deduplicate(frame)
-    assert kept.columns == frame.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(g for g in groups if g is not None) and ids.count(None) == 1
+    for shard in (4096, 4):
+        monkeypatch.setattr(simhash, "STAGE_SHARD", shard)
+        kept = simhash.deduplicate(frame)
+        assert kept.columns == frame.columns
+        ids = [r["doc_id"] for r in kept.collect()]
+        assert sorted(i for i in ids if i is not None) == sorted(set(component.values())) and ids.count(None) == 1
+    assert len(set(component.values())) < len(rows) - 15
+
+
+def test_flat_tree():
+    rng = np.random.default_rng(5)
+    values = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64) & np.uint64(0xFFFF))
+    q, member = simhash.FlatTree(values).near(values, 3)
+    assert sorted(zip(q.tolist(), member.tolist(), strict=True)) == sorted((a, b) for a, x in enumerate(values.tolist()) for b, y in enumerate(values.tolist()) if (x ^ y).bit_count() <= 3)
 
 
 def test_simhash_empty(docs):
