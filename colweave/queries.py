@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -462,21 +463,28 @@ _fragment(
     f"{WIDE.format(_NET, 'FILTER (WHERE COALESCE(qn, 0) > 0)')} AS sum_valid_net, {WIDE.format(_NET, 'FILTER (WHERE COALESCE(qn, 0) > 0 AND delay > 30)')} AS sum_delay_net, "
     "COUNT(*) FILTER (WHERE NULLIF(pn, 0) IS NOT NULL AND COALESCE(qn, 0) > 0) AS count_valid",
 )
-for _name, _columns, _coded in (
-    ("sales_wide", ["qty64", "price", "disc", "flag8", "status8"], False),
-    ("sales_narrow", ["qty16", "price", "disc", "flag8", "status8"], False),
-    ("sales_nullable", ["qty16", "pn", "disc", "flag8", "status8"], False),
-    ("sales_dictionary", ["qty64", "price", "disc", "flag8", "status8"], True),
-):
-    _q, _p = _columns[:2]
-    _signed = f"CASE WHEN flag8 = 1 THEN -(CAST({_q} AS BIGINT) * {_p} * (10000 - disc) // 10000) ELSE CAST({_q} AS BIGINT) * {_p} * (10000 - disc) // 10000 END"
+def _sales(wide: bool, nullable: bool, constant: bool, coding: str) -> None:
+    """One cell of the sales factorial: layout, nulls in the price, a constant discount, and how categories are coded."""
+    q, p = "qty64" if wide else "qty16", "pn" if nullable else "price"
+    columns = [q, p, "disc", "flag8", "status8"]
+    coded = {"plain": lambda x: x, "gather": kernels.dict_gather, "spec": kernels.dict_spec}[coding]
+
+    def made(quantity, price, discount, flag, status):
+        return kernels.sales(quantity, price, F.lit(500) if constant else discount, coded(flag), coded(status))
+
+    value = f"CAST({q} AS BIGINT) * {p} * (10000 - {'500' if constant else 'disc'}) // 10000"
+    moved = f"CASE WHEN flag8 = 1 THEN -({value}) ELSE {value} END"
     _fragment(
-        _name,
-        lambda q, p, d, f, s, coded=_coded: kernels.sales(q, p, d, kernels.dict_gather(f) if coded else f, kernels.dict_spec(s) if coded else s),
-        _columns,
-        f"{WIDE.format(_signed, '')} AS sum_revenue, {WIDE.format(_signed, 'FILTER (WHERE status8 = 2)')} AS channel2_revenue, COUNT(*) FILTER (WHERE {_q} >= 10) AS bulk_count",
+        f"sales_{'wide' if wide else 'narrow'}_{'null' if nullable else 'nn'}_{'const' if constant else 'col'}_{coding}",
+        made,
+        columns,
+        f"{WIDE.format(moved, '')} AS sum_revenue, {WIDE.format(moved, 'FILTER (WHERE status8 = 2)')} AS channel2_revenue, COUNT(*) FILTER (WHERE {q} >= 10) AS bulk_count",
     )
 
+
+for _cell in itertools.product((True, False), (False, True), (False, True), ("plain", "gather", "spec")):
+    _sales(*_cell)
+
 # Workloads.
 margin = charged - c("ord")
 MARGIN = f"({CHARGED}) - ord"

@@ -233,6 +233,37 @@ def test_streams(spark, tmp_path):
         on_stream(cw.query(a=col("x"), s=col("x").sum()), stream)
 
 
+def test_json(frame):
+    for program in (
+        cw.parse("INPUT (x i32?, y i32?) WITH z = x + y SELECT z * z AS a, sum(z) FILTER (WHERE x > 1) AS s, coalesce(x, 1) AS c"),
+        cw.query(t=call("trunc", col("x"), to=cw.I8), m=call("checked_op", col("x"), col("y"), col("p"), name="add"), k=moment(5, "s") - moment(2, "s")),
+    ):
+        again = cw.from_json(cw.to_json(program))
+        assert cw.to_json(again) == cw.to_json(program)
+        a, b = program.run(frame), again.run(frame)
+        assert a.vectors.collect() == b.vectors.collect() and (a.scalars is None or a.scalars.collect() == b.scalars.collect())
+
+
+def test_functions_by_name(frame):
+    x, y = col("x"), col("y")
+    got = cw.query(a=cw.popcnt(x), s=cw.sum_if(x, y > 5), n=cw.count_if(x > 0), g=cw.grouped_max(y, cw.coalesce(x, 0), "t"), h=cw.grouped_count_if(y > 0, cw.coalesce(x, 0), "t")).run(frame, tables={"t": cw.Target(4, 0)})
+    assert got["a"] == [1, None, 2, None] and got["s"] == 1 and got["n"] == 2 and got["g"] == [20, 10, 0, 0] and got["h"] == [1, 1, 0, 0]
+    with pytest.raises(AttributeError):
+        cw.no_such_function
+
+
+def test_bit_helpers(spark):
+    frame = sources.from_numpy(spark, {"x": np.array([1, -2, 0x1234], np.int16), "l": np.array([1, 2**40, -1], np.int64)})
+    p = cw.query(r=cw.reverse_bits_i8(cw.zeronull(col("x"))), f=cw.replicate_ith_bit_i8(cw.zeronull(col("x")), bit=2), w=cw.permute_i64_i16(cw.zeronull(col("l")), idxs=[3, 2, 1, 0]), v=cw.reverse_bits_full(col("l")))
+    got = p.run(frame).vectors.collect()
+    byte = lambda v, f: int.from_bytes(bytes(f(b) for b in (v & 0xFFFF).to_bytes(2, "little")), "little", signed=False)
+    signed = lambda v, w: v - (1 << w) if v >> (w - 1) else v
+    for r, x, v in zip(got, [1, -2, 0x1234], [1, 2**40, -1], strict=True):
+        assert r["r"] == signed(byte(x, lambda b: int(f"{b:08b}"[::-1], 2)), 16) and r["f"] == signed(byte(x, lambda b: 255 if b & 4 else 0), 16)
+        u = v & (2**64 - 1)
+        assert r["w"] == signed(sum(((u >> 16 * k) & 0xFFFF) << 16 * (3 - k) for k in range(4)), 64) and r["v"] == signed(int(f"{u:064b}"[::-1], 2), 64)
+
+
 def test_nested_aggregate_is_refused(frame):
     with pytest.raises(cw.TypeMismatch):
         cw.query(v=Expr("agg", (col("x"),), {"fn": "sum"}) + 1).plan(frame)
