@@ -196,3 +196,18 @@ def near_duplicates(
         rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: DuckDB: all pairs of a label, and what each vector reaches.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+links AS (SELECT x, count(*) AS n FROM pairs GROUP BY x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT v.vec_id, coalesce(links.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON v.vec_id = least.x LEFT JOIN links ON v.vec_id = links.x
+"""

@@ -55,8 +55,8 @@ def targets(sizes: DataFrame, budget: float = BUDGET, repeats: int = REPEATS) ->
 def mix(documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: what a budget of BUDGET times all words takes of it.
 
-    Returns doc_id, source, size, source_size, target, taken (words, repeats counted,
-    0 to REPEATS * size) and virtual_finish (of the first copy; null where the source has no
+    Returns doc_id, size, source_size, target, taken (words, repeats counted,
+    0 to REPEATS * size), source and virtual_finish (of the first copy; null where the source has no
     target), in order of virtual_finish. Null and blank texts have size 0 and are not
     taken; a null source is a source; null or repeated ids are queued like others
     (ties by size); an empty table gives no rows. Other columns are not read.
@@ -87,7 +87,7 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text: str = "text", sou
     for copy in range(1, REPEATS):
         taken = taken + served(copy)
     finish = F.when(F.col("target") > 0, (start + size) / F.col("target"))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), finish.alias("virtual_finish")).orderBy("virtual_finish")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", finish.alias("virtual_finish")).orderBy("virtual_finish")
 
 
 #: DuckDB: the same mix from documents.

@@ -83,4 +83,8 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE_SQL.format(documents="documents"), "op6_urls": urlfilter.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mix": mixing.ORACLE_SQL.format(documents="documents"),
+    "op6_urls": urlfilter.oracle_sql(),
+    "op8_embeddings": embeddings.ORACLE_SQL,
+}
