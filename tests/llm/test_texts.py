@@ -259,7 +259,7 @@ def test_mix(docs, rng):
 def against_duckdb(spark, name):
     frame = queries.QUERIES[name](spark, SF)
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     columns = sorted(frame.columns)
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
