@@ -188,6 +188,8 @@ def test_sources(spark, tmp_path):
     assert [r[0] for r in sources.from_arrow(spark, chunks.slice(1)).collect()] == [None, 255]
     df = spark.createDataFrame([(1, True), (-1, False)], "v int, m boolean")
     assert [tuple(r) for r in df.select(sources.with_mask(df.v, df.m), sources.with_sentinel(df.v, -1), sources.to_sentinel(sources.with_sentinel(df.v, -1), 0)).collect()] == [(None, 1, 1), (-1, None, 0)]
+    bits = spark.createDataFrame([(k, bytearray([0b101, 0b10])) for k in range(10)], "v int, bitmap binary")
+    assert [r[0] for r in bits.select(sources.with_bitmap(bits.v, bits.bitmap, bits.v)).collect()] == [0, None, 2, None, None, None, None, None, None, 9]
     sources.write_parquet(df, str(tmp_path / "t"))
     assert sources.to_numpy(sources.read_parquet(spark, str(tmp_path / "t"), "v").orderBy("v"))["v"].tolist() == [-1, 1]
     with pytest.raises(ValueError):
