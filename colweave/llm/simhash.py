@@ -193,7 +193,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
 
 
 class FlatTree:
-    """A BK-tree in arrays, for many queries at once."""
+    """A BK-tree over different values, in arrays, for many queries at once."""
 
     def __init__(self, values: np.ndarray) -> None:
         children: list[dict[int, int]] = [{} for _ in values]
@@ -276,10 +276,15 @@ def similar(classes: DataFrame, shard: int | None = None) -> DataFrame:
         asked = np.flatnonzero(side) if side.any() else own
         if not len(own) or not len(asked):
             return
-        tree, labels = FlatTree(prints[own]), Labels(len(rows))
+        # Equal fingerprints are one node, with its members listed beside the tree.
+        values, place, many = np.unique(prints[own], return_inverse=True, return_counts=True)
+        members, first = own[np.argsort(place, kind="stable")], np.cumsum(many) - many
+        tree, labels = FlatTree(values), Labels(len(rows))
         for k in range(0, len(asked), 256):
-            q, member = tree.near(prints[asked[k : k + 256]], STAGE_RADIUS)
-            p, q = asked[k : k + 256][q], own[member]
+            q, node = tree.near(prints[asked[k : k + 256]], STAGE_RADIUS)
+            p = np.repeat(asked[k : k + 256][q], many[node])
+            inner = np.arange(len(p)) - np.repeat(np.cumsum(many[node]) - many[node], many[node])
+            q = members[np.repeat(first[node], many[node]) + inner]
             for j in range(0, len(p), 16384):
                 a, b = p[j : j + 16384], q[j : j + 16384]
                 apart = labels.at[a] != labels.at[b]
