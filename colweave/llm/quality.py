@@ -127,7 +127,8 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     known = labels.select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label is not null")
     known = known.where(~held_out(F.col("_id"), 5, 0)).groupBy("_id").agg(F.max("_label").alias("_label"))
     known = bounded_sample(known, F.col("_id"), SAMPLE_ROWS)
-    rows = documents.join(F.broadcast(known), documents[id_column] == F.col("_id")).select("_id", "_label", F.col(text).alias("_text"))
+    rows = documents.select(F.col(id_column).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(known), F.expr("_doc = _id"))
+    rows = rows.select("_id", "_label", "_text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
