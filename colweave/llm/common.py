@@ -40,10 +40,12 @@ def settle(df: DataFrame) -> DataFrame:
 def stash(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder: smaller there than a checkpoint, for large rows.
 
-    It has a few files for each core at most, however many partitions a skewed stage was cut into.
+    Four partitions of a shuffle share a file, but there are never fewer files than keep all cores busy.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    df.coalesce(files).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
