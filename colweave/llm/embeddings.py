@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
 Unit vectors are rotated by a fixed orthogonal matrix and split into blocks of
-about eight dimensions. If two are within squared distance e, one block holds
+about sixteen dimensions. If two are within squared distance e, one block holds
 at most its proportional share of e; that block's range-join finds the pair.
 The join is on a grid over the block's first two coordinates: a vector goes to its
 own cell and, within the radius of a border, to neighbouring cells before it.
@@ -24,7 +24,7 @@ from .common import is_empty, settle
 from .components import Labels, components
 
 COSINE = 0.98
-BLOCK = 8
+BLOCK = 16
 SHARD = 4096
 
 
