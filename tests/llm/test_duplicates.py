@@ -156,7 +156,7 @@ def vectors(rng, n=120, d=24):
     return [v.astype(np.float32) for v in out]
 
 
-@pytest.mark.parametrize("d,shard", [(24, 4096), (24, 8), (3, 4096), (1, 4096)])
+@pytest.mark.parametrize("d,shard", [(40, 4096), (40, 8), (3, 4096), (1, 4096)])
 def test_embeddings(spark, d, shard):
     rng = np.random.default_rng(d)
     made = vectors(rng, 120, d)
