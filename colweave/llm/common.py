@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: whole texts are long, and batches wait in Python and in the JVM.
+BATCH_ROWS = 2048
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table; sets the session's Arrow batches to a size that suits texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
