@@ -24,6 +24,8 @@ DIMENSIONS = 1 << 13
 LANDMARKS = 256
 SAMPLE_ROWS = 4000
 RIDGE = 1e-3
+#: Up to so many languages their counts, a row each, are broadcast.
+FEW_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -78,7 +80,8 @@ def train(documents: DataFrame, id_column: str = "doc_id", text: str = "text", l
     sizes = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
     kinds = max(1, sizes.count())
     # Far above the expected cut of its language an id is left out before the ranking, so that no language gathers in a task.
-    ids = ids.join(sizes, "_lang").where(share_of(F.col("_id")) < (2 * SAMPLE_ROWS / kinds + 50) / F.col("_n")).drop("_n")
+    side = F.broadcast(sizes) if kinds <= FEW_LANGUAGES else sizes
+    ids = ids.join(side, "_lang").where(share_of(F.col("_id")) < (2 * SAMPLE_ROWS / kinds + 50) / F.col("_n")).drop("_n")
     order = Window.partitionBy("_lang").orderBy(F.md5(F.col("_id").cast("string")), "_id")
     ids = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(1, SAMPLE_ROWS // kinds)).drop("_r")
     rows = documents.select(F.col(id_column).alias("_doc"), F.col(language).alias("_named"), F.col(text).alias("_text")).where("_text is not null")
