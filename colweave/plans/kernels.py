@@ -43,7 +43,8 @@ def ship_filter(shipdate: Column, quantity: Column) -> Column:
 
 def dict_gather(code: Column) -> Column:
     """An i8 code looked up in the dictionary of the first CODES numbers; other codes are errors."""
-    dictionary = F.transform(F.sequence(F.lit(0), F.lit(CODES - 1)), lambda x: x.cast("tinyint"))
+    # Literals only, so that Spark folds the dictionary to a constant.
+    dictionary = F.array(*map(F.lit, range(CODES))).cast("array<tinyint>")
     return F.when((code < 0) | (code >= CODES), F.raise_error(F.lit("dictionary code out of range"))).otherwise(F.get(dictionary, code.cast("int")))
 
 
