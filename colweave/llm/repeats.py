@@ -10,7 +10,8 @@ stretch of text that a single row stands for.
    repeats throughout and are counted, not compared.
 2. The other runs of repeated keys go, as text, to the task of their key. A key
    with more than GROUP different runs is first dealt anew by minimizers of longer
-   strings, at the last of whole windows, so no key gathers in one task.
+   strings, at the last of whole windows, so no key gathers in one task. There all
+   windows of a key are equal, so its runs are counted, however many, not compared.
 3. A task cuts its text into shards and builds each shard's Burrows-Wheeler
    transform, over super-characters of STEP bytes. The transforms are merged by
    interleave refinement (Holt and McMillan 2014): pass k brings the suffixes of
@@ -280,6 +281,9 @@ def _spans(documents: DataFrame) -> DataFrame:
         groups = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.max("twice").alias("any"), F.sum("n").alias("all"))
         known = some.join(classes.select("g", "d", "n"), ["g", "d"]).join(groups, "g")
         known = known.where("all > 1 or any")
+        if level + 1 == len(LEVELS):
+            out = out.unionByName(known.where("live").select("k1", "k2", "s", "e"))
+            break
         out = out.unionByName(known.where("n > 1 and live").select("k1", "k2", "s", "e"))
         open_ = known.where("kinds > 1 or any")
         columns = ["k1", "k2", "s", "e"] + ["t"] * bool(level)
@@ -303,7 +307,7 @@ def _spans(documents: DataFrame) -> DataFrame:
             if is_empty(more):
                 more = None
         texts = part if texts is None else texts.unionByName(part)
-        if more is None or level + 1 == len(LEVELS):
+        if more is None:
             break
         schema = "g long, d long, k1 long, k2 long, s int, e int, again boolean, live boolean, t binary"
         some = stash(more.mapInArrow(functools.partial(_of_texts, size=LEVELS[level + 1]), schema))

@@ -230,6 +230,16 @@ def test_repeats(docs, rng, monkeypatch, group, task, shard):
     assert Counter(tuple(r) for r in got) == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
+def test_repeats_of_one_byte(docs, rng, monkeypatch):
+    """Runs of one byte in more lengths than GROUP share a key at every level, the last too."""
+    monkeypatch.setattr(repeats, "GROUP", 2)
+    rows = [(k, prose(rng, words=9) + "-" * n + prose(rng, words=9)) for k, n in enumerate((200, 201, 230, 275, 333, 333, 400))] + [(9, "=" * 200)]
+    got = repeats.digest(repeats.remove(docs(rows))).collect()
+    want = slow_repeats([t.encode() for _, t in rows])
+    assert Counter(tuple(r) for r in got) == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+    assert {r["doc_id"]: r["n_removed"] for r in got}[0] >= 200
+
+
 def test_repeats_empty(docs):
     assert repeats.remove(docs([])).count() == 0
 
