@@ -8,9 +8,11 @@ BK-tree (children keyed by integer Hamming distance to the parent) and follows
 only edges within the radius.
 
 deduplicate groups documents of similarity 0.8 or more on five-word shingles.
-Such pairs differ in up to about 20 bits, too many for blocks of bits, so there
+Such pairs differ in up to 30 bits, too many for blocks of bits, so there
 documents that share a min-hash make a shard; its BK-tree gives the pairs within
-the radius, and their min-hashes decide.
+the radius. Their min-hashes decide where the estimate is far from 0.8; the other
+pairs are compared by their whole sets of shingles, in a second pass over the
+documents of a shard that have such a pair.
 
 A key with more members than a shard holds is cut, and each pair of shards
 becomes a task of its own, so that no task grows with the data. Only a spanning
@@ -19,6 +21,7 @@ forest of each shard's links leaves it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,13 +227,16 @@ class FlatTree:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-STAGE_WORDS, STAGE_RADIUS, SIMILARITY = 5, 20, 0.8
+STAGE_WORDS, STAGE_RADIUS, SIMILARITY = 5, 30, 0.8
+#: Estimates from LOWEST up to HIGHEST, about six and five standard errors off, are left to the sets themselves.
+LOWEST, HIGHEST = 0.65, 0.92
+HELD = 1 << 20
 SKETCH, KEYS, STAGE_SHARD = 256, 8, 4096
 _MIX = np.random.default_rng(8).integers(0, 2**63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(text: str | None) -> tuple[int, int, bytes, list[int]]:
-    """(digest of the set of shingles, fingerprint, min-hashes of 16 bits, whole min-hashes that serve as keys)."""
+def shingles(text: str | None) -> np.ndarray:
+    """The set of the text's shingles as sorted hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     whole = b" ".join(words)
     if len(words) <= STAGE_WORDS:
@@ -238,7 +244,13 @@ def sketch(text: str | None) -> tuple[int, int, bytes, list[int]]:
     else:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         parts = [whole[s:e] for s, e in zip([0, *(ends[:-STAGE_WORDS] + 1).tolist()], ends[STAGE_WORDS - 1 :].tolist(), strict=True)]
-    hashes = np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64))
+    return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64))
+
+
+def sketch(text: str | None) -> tuple[int, int, int, bytes, list[int]]:
+    """(digest of the set of shingles, fingerprint, size of the set, min-hashes of 16 bits, whole min-hashes that serve as keys)."""
+    words = (text or "").split()
+    hashes = shingles(text)
     ones = np.zeros(64, np.int64)
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 2048):
@@ -248,15 +260,118 @@ def sketch(text: str | None) -> tuple[int, int, bytes, list[int]]:
         least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(0))
     fp = int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]) if words else 0
     digest = xxhash.xxh3_64_intdigest(hashes.tobytes())
-    return _signed(digest), _signed(fp), (least >> np.uint64(16)).astype(np.uint16).tobytes(), least[:KEYS].view(np.int64).tolist()
+    return _signed(digest), _signed(fp), len(hashes), (least >> np.uint64(16)).astype(np.uint16).tobytes(), least[:KEYS].view(np.int64).tolist()
+
 
+def _verified(a: np.ndarray, b: np.ndarray, labels: Labels, sets: list[np.ndarray], mark: np.ndarray) -> None:
+    """Link those pairs whose sets, of places in mark, have a similarity of SIMILARITY or more."""
+    for x in np.unique(a).tolist():
+        mark[sets[x]] = True
+        alike = []
+        for y in b[a == x].tolist():
+            if labels.at[x] != labels.at[y]:
+                both = int(np.count_nonzero(mark[sets[y]]))
+                if both / (len(sets[x]) + len(sets[y]) - both) >= SIMILARITY:
+                    alike.append(y)
+        mark[sets[x]] = False
+        if alike:
+            labels.link(np.full(len(alike), x), np.array(alike))
 
-def similar(classes: DataFrame, shard: int | None = None) -> DataFrame:
-    """(cls, fp, sketch, keys) -> (a, b): links that span every group of classes with similarity of SIMILARITY or more.
+
+def _similar(m: int, rows: list[tuple], exact: bool) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links of a shard of key m, and unless exact the places of rows that have a pair left to the sets.
+
+    Such a pair is left to the shard of its first common key.
+    """
+    side = np.array([r[0] != r[1] for r in rows])
+    own = np.flatnonzero(~side)
+    crossed = bool(side.any())
+    asked = np.flatnonzero(side) if crossed else own
+    if not len(own) or not len(asked):
+        return [], []
+    ids = [r[2] for r in rows]
+    prints = np.array([r[3] & ONES for r in rows], np.uint64)
+    sketches = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
+    keys = np.array([r[5][:m] for r in rows], np.int64).reshape(len(rows), m)
+    sizes = np.array([r[6] for r in rows])
+    if exact:
+        values, place = np.unique(np.concatenate([np.frombuffer(r[7], np.uint64) for r in rows]), return_inverse=True)
+        sets, mark = np.split(place.astype(np.int32), np.cumsum(sizes)[:-1]), np.zeros(len(values), bool)
+    # Equal fingerprints are one node, with its members listed beside the tree.
+    values, place, many = np.unique(prints[own], return_inverse=True, return_counts=True)
+    members, first = own[np.argsort(place, kind="stable")], np.cumsum(many) - many
+    tree, labels = FlatTree(values), Labels(len(rows))
+    left = np.zeros(len(rows), bool)
+    held = np.zeros((2, 0), np.int64)
+    for k in range(0, len(asked), 256):
+        q, node = tree.near(prints[asked[k : k + 256]], STAGE_RADIUS)
+        p = np.repeat(asked[k : k + 256][q], many[node])
+        inner = np.arange(len(p)) - np.repeat(np.cumsum(many[node]) - many[node], many[node])
+        q = members[np.repeat(first[node], many[node]) + inner]
+        # No two sets are more alike than their sizes.
+        fits = np.minimum(sizes[p], sizes[q]) / np.maximum(sizes[p], sizes[q]) >= SIMILARITY
+        if not crossed:
+            fits &= p > q
+        p, q = p[fits], q[fits]
+        for j in range(0, len(p), 16384):
+            a, b = p[j : j + 16384], q[j : j + 16384]
+            apart = labels.at[a] != labels.at[b]
+            a, b = a[apart], b[apart]
+            share = (sketches[a] == sketches[b]).mean(1)
+            sure = share >= HIGHEST
+            labels.link(a[sure], b[sure])
+            unsure = (share >= LOWEST) & ~sure & ~(left[a] & left[b])
+            a, b = a[unsure], b[unsure]
+            fresh = ~(keys[a] == keys[b]).any(1)
+            a, b = a[fresh], b[fresh]
+            if exact:
+                _verified(a, b, labels, sets, mark)
+                continue
+            held = np.concatenate([held, np.stack([a, b])], axis=1)
+            if held.shape[1] > HELD:
+                held = held[:, labels.at[held[0]] != labels.at[held[1]]]
+                if held.shape[1] > HELD // 2:
+                    left[held.ravel()] = True
+                    held = held[:, :0]
+    left[held[:, labels.at[held[0]] != labels.at[held[1]]].ravel()] = True
+    links = [(ids[k], ids[int(labels.at[k])]) for k in np.flatnonzero(labels.at != np.arange(len(rows))).tolist()]
+    return links, np.flatnonzero(left).tolist()
+
+
+_LINK = pa.schema([*((c, pa.int64()) for c in ("a", "b")), ("m", pa.int32()), ("v", pa.int64()), *((c, pa.int32()) for c in ("i", "j", "s")), ("cls", pa.int64())])
+
+
+def _shards(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard pair; out go links, and the rows that the sets have to decide on."""
+    key, held, out = None, [], []
+
+    def done() -> None:
+        if len(held) > 1:
+            links, left = _similar(key[0], held, exact)
+            out.extend((a, b, *[None] * 6) for a, b in links)
+            out.extend((None, None, *key, held[k][1], held[k][2]) for k in left)
+
+    for batch in batches:
+        for m, v, i, j, s, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (m, v, i, j) != key:
+                done()
+                key, held = (m, v, i, j), []
+            held.append((i, s, *rest))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LINK, strict=True)], schema=_LINK)
+            out = []
+    done()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LINK, strict=True)], schema=_LINK)
+
+
+def similar(classes: DataFrame, texts: DataFrame, shard: int | None = None) -> DataFrame:
+    """(cls, fp, size, sketch, keys, one) -> (a, b): links that span every group of classes with similarity of SIMILARITY or more.
 
     Two sets of similarity 0.8 have one of KEYS min-hashes in common but for one case in 400,000;
     the classes that share one make a shard. Its BK-tree gives the pairs within STAGE_RADIUS, and
-    their min-hashes the similarity, to a standard error of 0.025.
+    their min-hashes the similarity, to a standard error of 0.025; between LOWEST and HIGHEST the
+    sets decide, made again from the class's document one in texts (doc_id, digest, text).
     """
     shard = shard or STAGE_SHARD
     keyed = classes.select("cls", F.posexplode("keys").alias("m", "v"))
@@ -265,53 +380,28 @@ def similar(classes: DataFrame, shard: int | None = None) -> DataFrame:
     mine = F.pmod(F.xxhash64("cls"), F.col("c")).cast("int")
     each = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
     dealt = keyed.withColumn("s", mine).withColumn("t", F.explode(each)).select("m", "v", "t.i", "t.j", "s", "cls")
-    dealt = dealt.join(classes.select("cls", "fp", "sketch"), "cls").select("m", "v", "i", "j", "s", "cls", "fp", "sketch")
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        side = np.array([s != i for i, s, *_ in rows])
-        ids = [r[2] for r in rows]
-        prints = np.array([r[3] & ONES for r in rows], np.uint64)
-        sketches = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
-        own = np.flatnonzero(~side)
-        asked = np.flatnonzero(side) if side.any() else own
-        if not len(own) or not len(asked):
-            return
-        # Equal fingerprints are one node, with its members listed beside the tree.
-        values, place, many = np.unique(prints[own], return_inverse=True, return_counts=True)
-        members, first = own[np.argsort(place, kind="stable")], np.cumsum(many) - many
-        tree, labels = FlatTree(values), Labels(len(rows))
-        for k in range(0, len(asked), 256):
-            q, node = tree.near(prints[asked[k : k + 256]], STAGE_RADIUS)
-            p = np.repeat(asked[k : k + 256][q], many[node])
-            inner = np.arange(len(p)) - np.repeat(np.cumsum(many[node]) - many[node], many[node])
-            q = members[np.repeat(first[node], many[node]) + inner]
-            for j in range(0, len(p), 16384):
-                a, b = p[j : j + 16384], q[j : j + 16384]
-                apart = labels.at[a] != labels.at[b]
-                a, b = a[apart], b[apart]
-                alike = (sketches[a] == sketches[b]).mean(1) >= SIMILARITY
-                labels.link(a[alike], b[alike])
-        for k in np.flatnonzero(labels.at != np.arange(len(rows))).tolist():
-            yield ids[k], ids[int(labels.at[k])]
+    columns = ["m", "v", "i", "j", "s", "cls", "fp", "sketch", "keys", "size"]
+    schema = "a long, b long, m int, v long, i int, j int, s int, cls long"
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
-        for batch in batches:
-            for m, v, i, j, s, cls, fp, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (m, v, i, j) != key:
-                    if len(held) > 1:
-                        out += pairs(held)
-                    key, held = (m, v, i, j), []
-                held.append((i, s, cls, fp, marks))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-                out = []
-        if len(held) > 1:
-            out += pairs(held)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+    def compared(rows: DataFrame, exact: bool) -> DataFrame:
+        rows = rows.repartition("m", "v", "i", "j").sortWithinPartitions("m", "v", "i", "j")
+        return stash(rows.mapInArrow(functools.partial(_shards, exact=exact), schema))
 
-    return dealt.repartition("m", "v", "i", "j").sortWithinPartitions("m", "v", "i", "j").mapInArrow(found, "a long, b long")
+    marks = classes.select("cls", "fp", "sketch", "keys", "size")
+    first = compared(dealt.join(marks, "cls").select(columns), False)
+    links, left = first.where("cls is null").select("a", "b"), first.where("cls is not null").drop("a", "b")
+    if is_empty(left):
+        return links
+
+    def made(ids, texts):
+        for i, t in zip(ids, texts, strict=True):
+            yield i, shingles(t).tobytes()
+
+    wanted = left.select("cls").distinct().join(classes.select("cls", "one"), "cls")
+    whole = texts.alias("t").join(wanted.alias("w"), F.expr("t.doc_id <=> w.one.doc_id and t.digest = w.one.digest"))
+    whole = map_rows(whole.groupBy("cls").agg(F.first("text").alias("text")), made, "cls long, shingles binary", rows_per_batch=256)
+    left = left.join(marks, "cls").join(stash(whole), "cls").select(*columns, "shingles")
+    return links.unionByName(compared(left, True).select("a", "b"))
 
 
 def similar_groups(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -326,11 +416,11 @@ def similar_groups(documents: DataFrame, id_column: str = "doc_id", text: str =
         for i, d, t in zip(ids, digests, texts, strict=True):
             yield i, d, *sketch(t)
 
-    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
-    rows = stash(map_rows(rows, made, "doc_id long, digest long, cls long, fp long, sketch binary, keys array<long>"))
+    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    rows = stash(map_rows(texts, made, "doc_id long, digest long, cls long, fp long, size int, sketch binary, keys array<long>"))
     least = rows.groupBy("cls").agg(F.min("doc_id").alias("least"))
-    firsts = rows.groupBy("cls").agg(F.max("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("keys").alias("keys"))
-    root = components(similar(settle(firsts)))
+    firsts = rows.groupBy("cls").agg(F.max("fp").alias("fp"), F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.max("keys").alias("keys"), F.min(F.struct("doc_id", "digest")).alias("one"))
+    root = components(similar(settle(firsts), texts))
     joined = least.join(root.withColumnRenamed("node", "cls"), "cls", "left")
     whole = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
     named = joined.join(whole, "root", "left").select("cls", F.coalesce("whole", "least").alias("component_id"))

@@ -121,6 +121,28 @@ def test_deduplicate(docs, rng, monkeypatch):
     assert len(set(component.values())) < len(rows) - 15
 
 
+def test_deduplicate_near_the_limit(docs, rng, monkeypatch):
+    """Pairs from 0.72 to 0.88, and short ones at 0.8 itself, are decided by their sets."""
+    def words(n):
+        return [f"w{rng.getrandbits(48)}" for _ in range(n)]
+
+    pairs = []
+    for t in range(13, 32):
+        for _ in range(8):
+            base = words(200)
+            pairs.append((base, base[:-t] + words(t)))
+    pairs += [(base, base[:8]) for base in (words(9) for _ in range(150))]
+    texts = [" ".join(w) for pair in pairs for w in pair]
+    want = []
+    for k in range(0, len(texts), 2):
+        a, b = shingles(texts[k]), shingles(texts[k + 1])
+        want += [k] if len(a & b) / len(a | b) >= 0.8 else [k, k + 1]
+    for shard, held in ((4096, 1 << 20), (1, 0)):
+        monkeypatch.setattr(simhash, "STAGE_SHARD", shard)
+        monkeypatch.setattr(simhash, "HELD", held, raising=False)
+        assert sorted(r["doc_id"] for r in simhash.deduplicate(docs(list(enumerate(texts)))).collect()) == want
+
+
 def test_flat_tree():
     rng = np.random.default_rng(5)
     values = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64) & np.uint64(0xFFFF))
