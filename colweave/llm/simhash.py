@@ -405,11 +405,11 @@ def similar(classes: DataFrame, texts: DataFrame, shard: int | None = None) -> D
 
 
 def similar_groups(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, component_id): groups of documents linked by a similarity of SIMILARITY or more on five-word shingles.
+    """(doc_id, digest, component_id, root): groups of documents linked by a similarity of SIMILARITY or more on five-word shingles.
 
     digest is a hash of the text as it is. Documents with equal sets of shingles are one class. Texts without words
     are alike; a text of five words or fewer is one shingle; the smallest id reachable names a group, and is null
-    where no id is known there.
+    where no id is known there. root tells groups apart that share the id.
     """
 
     def made(ids, digests, texts):
@@ -423,19 +423,18 @@ def similar_groups(documents: DataFrame, id_column: str = "doc_id", text: str =
     root = components(similar(settle(firsts), texts))
     joined = least.join(root.withColumnRenamed("node", "cls"), "cls", "left")
     whole = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
-    named = joined.join(whole, "root", "left").select("cls", F.coalesce("whole", "least").alias("component_id"))
-    return rows.select("doc_id", "digest", "cls").join(named, "cls").select("doc_id", "digest", "component_id")
+    named = joined.join(whole, "root", "left").select("cls", F.coalesce("whole", "least").alias("component_id"), F.coalesce("root", "cls").alias("root"))
+    return rows.select("doc_id", "digest", "cls").join(named, "cls").select("doc_id", "digest", "component_id", "root")
 
 
 def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with one document of each group of similar_groups: the one with the smallest id.
 
-    Of rows that repeat the id one stays, that with the least digest. Where no row of a
-    group has an id, one row of each of its texts stays.
+    Of a group's rows that repeat the id, or have none, one stays, that with the least digest.
+    Groups that share the id keep a row each.
     """
     kept = settle(similar_groups(documents, id_column, text)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    one = one.unionByName(kept.where("doc_id is null").select("doc_id", "digest").distinct())
+    one = kept.groupBy("doc_id", "root").agg(F.min("digest").alias("digest"))
     rows = kept.groupBy("doc_id", "digest").agg(F.count("*").alias("_rows"))
     one = settle(one.alias("o").join(rows.alias("r"), F.expr("o.doc_id <=> r.doc_id and o.digest = r.digest")).select("o.doc_id", "o.digest", "_rows"))
 

@@ -143,6 +143,14 @@ def test_deduplicate_near_the_limit(docs, rng, monkeypatch):
         assert sorted(r["doc_id"] for r in simhash.deduplicate(docs(list(enumerate(texts)))).collect()) == want
 
 
+def test_deduplicate_repeated_ids(docs, rng):
+    """Groups that share their smallest id, or have none, keep a document each."""
+    a, b, c = ([f"w{rng.getrandbits(48)}" for _ in range(100)] for _ in range(3))
+    rows = [(1, a), (1, b), (2, a[:-1]), (3, b[:-1]), (1, a[:-2]), (None, c), (None, c[:-1])]
+    kept = simhash.deduplicate(docs([(k, " ".join(w)) for k, w in rows])).collect()
+    assert sorted((str(r["doc_id"]), r["text"].split()[0]) for r in kept) == sorted([("1", a[0]), ("1", b[0]), ("None", c[0])])
+
+
 def test_flat_tree():
     rng = np.random.default_rng(5)
     values = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64) & np.uint64(0xFFFF))
