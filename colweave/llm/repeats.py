@@ -2,30 +2,31 @@
 
 A string of LENGTH bytes that starts anywhere else is a repeat; every byte it
 covers is one. Windows of LENGTH bytes are dealt by content: a window's key is
-the least hash of its K-byte strings (its minimizer), so equal windows share a
+the least hash of its CORE-byte strings (its minimizer), so equal windows share a
 key whatever the documents, and successive windows with one key form a run, a
 stretch of text that a single row stands for.
 
 1. Keys that occur once hold no repeat. Runs that are equal as a whole are
-   repeats throughout and are counted, not compared.
-2. The other runs of repeated keys go, as text, to the task of their key. A key
-   with more than GROUP different runs is first dealt anew by minimizers of longer
-   strings, at the last of whole windows, so no key gathers in one task. There all
-   windows of a key are equal, so its runs are counted, however many, not compared.
-3. A task cuts its text into shards and builds each shard's Burrows-Wheeler
-   transform, over super-characters of STEP bytes. The transforms are merged by
-   interleave refinement (Holt and McMillan 2014): pass k brings the suffixes of
-   all shards into the order of their first k super-characters and carries the
-   borders between blocks that share a prefix. After LENGTH / STEP passes a block
-   of two or more suffixes is a repeated string; no suffix is sorted across shards.
-
-Hashes of 64 bits stand for strings in keys and super-characters, and pairs of
-them for whole runs.
+   repeats throughout and are counted, not compared. One run of each such class
+   stays, for others to be compared with.
+2. The remaining runs of a key go, as text, to its task, which cuts them into
+   shards and builds each shard's Burrows-Wheeler transform, over super-characters
+   of STEP bytes. The transforms are merged by interleave refinement (Holt and
+   McMillan 2014): pass k brings the suffixes of all shards into the order of
+   their first k super-characters and carries the borders between blocks that
+   share a prefix. After LENGTH / STEP passes a block of two or more suffixes is a
+   repeated interval; no suffix is sorted across shards.
+3. Keys whose different runs hold more than KEY_BYTES, however many, do not gather
+   in a task: each window of theirs is a key of its own, counted by its hash in two
+   phases. Only hashes and positions travel, and a run that repeats itself sends a
+   hash once.
+
+Every join on a key of unknown frequency goes through spread_join. Hashes of 64 bits stand for strings in keys and
+super-characters, and pairs of them for whole runs and counted windows.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, stash
+from .common import is_empty, spread_join, stash
 
 LENGTH = 200
 STEP = 40
-#: Lengths of the strings whose least hash is a window's key, level by level; the last is the window.
-LEVELS = (64, 128, 176, 200)
-GROUP = 256
+#: Length of the strings whose least hash is a window's key: longer ones make more runs, shorter ones more keys that common lines share.
+CORE = 96
+KEY_BYTES = 1 << 17
 SHARD_BYTES = 1 << 17
 TASK_BYTES = 1 << 19
 
@@ -199,45 +200,76 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 _RUN = [("g", pa.int64()), ("d", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("again", pa.bool_())]
 _TEXT = [("g", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int32()), ("live", pa.bool_()), ("t", pa.binary())]
+_COUNT = [*_TEXT[:5], ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]
 _SPAN = [("k1", pa.int64()), ("k2", pa.int64()), ("s", pa.int32()), ("e", pa.int32())]
 
 
 def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema(_RUN)
     for batch in batches:
         rows = []
         for k1, k2, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            rows += [(g, d, k1, k2, s, e, again) for g, d, s, e, again in runs(text, LEVELS[0])]
-            if len(rows) >= 65536:
-                yield from _batches(rows, pa.schema(_RUN))
-                rows = []
-        yield from _batches(rows, pa.schema(_RUN))
+            for g, d, s, e, again in runs(text, CORE):
+                rows.append((g, d, k1, k2, s, e, again))
+                if len(rows) >= 65536:
+                    yield from _batches(rows, schema)
+                    rows = []
+        yield from _batches(rows, schema)
 
 
-def _of_texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Runs within texts of one key, by minimizers of size bytes; the new key holds the old."""
-    schema = pa.schema([*_RUN, ("live", pa.bool_()), ("t", pa.binary())])
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(k1, k2, text, wanted) of the joined rows; copies of a row, which come together, count once."""
+    last = None
     for batch in batches:
-        rows = []
-        for g, k1, k2, at, live, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            for key, d, s, e, again in runs(text, size):
-                both = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True), g & 0xFFFFFFFFFFFFFFFF)
-                rows.append((_long(both), d, k1, k2, at + s, at + e, again, live, text[s:e]))
-            if len(rows) >= 8192:
-                yield from _batches(rows, schema)
-                rows = []
-        yield from _batches(rows, schema)
+        for k1, k2, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (k1, k2) != last:
+                yield k1, k2, text, wanted
+            last = k1, k2
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(_TEXT)
-    for batch in batches:
-        rows = []
-        for k1, k2, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            rows += [(w["g"], k1, k2, w["s"], w["live"], text[w["s"] : w["e"]]) for w in wanted]
+    rows, size = [], 0
+    for k1, k2, text, wanted in _wanted(batches):
+        for w in wanted:
+            rows.append((w["g"], k1, k2, w["s"], w["live"], text[w["s"] : w["e"]]))
+            size += w["e"] - w["s"]
+            if size >= TASK_BYTES:
+                yield from _batches(rows, schema)
+                rows, size = [], 0
+    yield from _batches(rows, schema)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of a run's windows and where each stands first; at is -1 - start where it stands there again."""
+    schema = pa.schema(_COUNT)
+    rows, size = [], 0
+    for k1, k2, text, wanted in _wanted(batches):
+        for w in wanted:
+            strings = hashes(np.frombuffer(text, np.uint8, w["e"] - w["s"], w["s"]), LENGTH)
+            kinds, first, place, many = np.unique(strings, return_index=True, return_inverse=True, return_counts=True)
+            once = many == 1
+            rows.append((w["g"], k1, k2, w["s"], w["live"], kinds.view(np.int64), np.where(once, first, -1 - first).astype(np.int32)))
+            size += len(kinds)
+            if size >= TASK_BYTES // 8:
+                yield from _batches(rows, schema)
+                rows, size = [], 0
+    yield from _batches(rows, schema)
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of runs whose windows repeat within the run."""
+    schema = pa.schema(_SPAN)
+    rows = []
+    for k1, k2, text, wanted in _wanted(batches):
+        for w in wanted:
+            strings = hashes(np.frombuffer(text, np.uint8, w["e"] - w["s"], w["s"]), LENGTH)
+            _, place, many = np.unique(strings, return_inverse=True, return_counts=True)
+            rows += [(k1, k2, w["s"] + a, w["s"] + z) for a, z in _intervals(many[place] > 1)]
             if len(rows) >= 8192:
                 yield from _batches(rows, schema)
                 rows = []
-        yield from _batches(rows, schema)
+    yield from _batches(rows, schema)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,53 +298,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
+def _counted(crowd: DataFrame) -> DataFrame:
+    """Spans of the runs of crowded keys, each window a key of its own."""
+    every = stash(crowd.mapInArrow(_windows, "g long, k1 long, k2 long, s int, live boolean, h array<long>, at array<int>"))
+    each = every.select("g", "k1", "k2", "s", "live", F.explode(F.arrays_zip("h", "at")).alias("w")).select("g", "k1", "k2", "s", "live", "w.h", "w.at")
+    counts = stash(each.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1"))
+    known = spread_join(each.where("live and at >= 0"), counts, ["g", "h"], ["k1", "k2", "s"])
+    known = known.select("k1", "k2", (F.col("s") + F.col("at")).alias("s"), (F.col("s") + F.col("at") + LENGTH).alias("e"))
+    own = crowd.select("k1", "k2", "text", F.filter("wanted", lambda w: w["live"] & w["again"]).alias("wanted")).where(F.size("wanted") > 0)
+    return known.unionByName(own.mapInArrow(_again, "k1 long, k2 long, s int, e int"))
+
+
 def _spans(documents: DataFrame) -> DataFrame:
     """(k1, k2, text) -> (k1, k2, s, e): stretches of repeats, overlapping ones too."""
     every = stash(documents.mapInArrow(_of_documents, "g long, d long, k1 long, k2 long, s int, e int, again boolean"))
     keys = every.groupBy("g").agg(F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("z"), F.max("again").alias("twice"))
-    keys = keys.where("n > 1 or twice").select("g", F.expr("a <> z or (twice and n = 1)").alias("mixed"))
-    some = stash(every.join(keys, "g"))
+    keys = stash(keys.where("n > 1 or twice").select("g", "n", F.expr("a <> z or (twice and n = 1)").alias("mixed")))
+    some = stash(spread_join(every, keys, ["g"], ["k1", "k2", "s"]))
     out = some.where("not mixed").select("k1", "k2", "s", "e")
-    some = some.where("mixed").drop("mixed").withColumn("live", F.lit(True))
-    texts = None
-    for level, size in enumerate(LEVELS):
-        # What is equal as a whole is a repeat; one of each such class stays, not live, for the others to be compared with.
-        classes = some.groupBy("g", "d").agg(F.count("*").alias("n"), F.max("again").alias("twice"))
-        groups = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.max("twice").alias("any"), F.sum("n").alias("all"))
-        known = some.join(classes.select("g", "d", "n"), ["g", "d"]).join(groups, "g")
-        known = known.where("all > 1 or any")
-        if level + 1 == len(LEVELS):
-            out = out.unionByName(known.where("live").select("k1", "k2", "s", "e"))
-            break
-        out = out.unionByName(known.where("n > 1 and live").select("k1", "k2", "s", "e"))
-        open_ = known.where("kinds > 1 or any")
-        columns = ["k1", "k2", "s", "e"] + ["t"] * bool(level)
-        single = open_.where("n = 1").select("g", "kinds", "live", *columns)
-        model = open_.where("n > 1").groupBy("g", "d").agg(F.first("kinds").alias("kinds"), F.first(F.struct(*columns)).alias("m"))
-        left = single.unionByName(model.select("g", "kinds", F.lit(False).alias("live"), *[f"m.{c}" for c in columns]))
-        if not level:
-            wanted = left.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "s", "e", "live", "kinds")).alias("wanted"))
-            left = documents.join(wanted, ["k1", "k2"])
-            small = F.filter("wanted", lambda w: w["kinds"] <= GROUP)
-            large = F.filter("wanted", lambda w: w["kinds"] > GROUP)
-            schema = "g long, k1 long, k2 long, s int, live boolean, t binary"
-            left = left.select("k1", "k2", F.col("text"), small.alias("small"), large.alias("large"))
-            part = left.select("k1", "k2", "text", "small").where(F.size("small") > 0).mapInArrow(_cut, schema)
-            more = left.select("k1", "k2", "text", "large").where(F.size("large") > 0).mapInArrow(_cut, schema)
-            if is_empty(known.where(F.col("kinds") > GROUP)):
-                more = None
-        else:
-            part = left.where(F.col("kinds") <= GROUP).select("g", "k1", "k2", "s", "live", "t")
-            more = left.where(F.col("kinds") > GROUP).select("g", "k1", "k2", "s", "live", "t")
-            if is_empty(more):
-                more = None
-        texts = part if texts is None else texts.unionByName(part)
-        if more is None:
-            break
-        schema = "g long, d long, k1 long, k2 long, s int, e int, again boolean, live boolean, t binary"
-        some = stash(more.mapInArrow(functools.partial(_of_texts, size=LEVELS[level + 1]), schema))
-    found = texts.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "k1 long, k2 long, s int, e int")
-    return out.unionByName(found)
+    some = some.where("mixed").drop("mixed")
+    # What is equal as a whole is a repeat; one of each such class stays, not live, for the others to be compared with.
+    classes = some.groupBy("g", "d").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("k1", "k2", "s", "e")).alias("one"))
+    classes = stash(classes)
+    out = out.unionByName(spread_join(some, classes.where("n > 1").select("g", "d", "n"), ["g", "d"], ["k1", "k2", "s"]).select("k1", "k2", "s", "e"))
+    size = F.col("one.e") - F.col("one.s")
+    groups = classes.groupBy("g").agg(F.count("*").alias("n"), F.max("again").alias("any"), F.sum(size).alias("bytes")).where("n > 1 or any")
+    groups = stash(groups.select("g", "n", (F.col("bytes") > KEY_BYTES).alias("crowded")))
+    left = spread_join(classes.withColumnRenamed("n", "copies"), groups, ["g"], ["d"]).select("g", "one.*", "again", (F.col("copies") == 1).alias("live"), "crowded")
+    wanted = left.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "s", "e", "live", "again", "crowded")).alias("wanted"))
+    left = documents.join(wanted, ["k1", "k2"])
+
+    def those(test) -> DataFrame:
+        return left.select("k1", "k2", "text", F.filter("wanted", test).alias("wanted")).where(F.size("wanted") > 0)
+
+    texts = those(lambda w: ~w["crowded"]).mapInArrow(_cut, "g long, k1 long, k2 long, s int, live boolean, t binary")
+    out = out.unionByName(texts.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "k1 long, k2 long, s int, e int"))
+    if is_empty(groups.where("crowded")):
+        return out
+    return out.unionByName(_counted(those(lambda w: w["crowded"])))
 
 
 def remove(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,7 +351,7 @@ def remove(documents: DataFrame, id_column: str = "doc_id", text: str = "text")
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k2"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
     )
-    spans = _spans(docs).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = _spans(docs).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
     def cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretch = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

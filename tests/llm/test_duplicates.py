@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from colweave.llm import embeddings, repeats, simhash
+from colweave.llm import common, embeddings, repeats, simhash
 from colweave.llm.components import components
 
 from .conftest import prose
@@ -248,9 +248,10 @@ def repeated_corpus(rng):
     return [*texts, "".join(edited)]
 
 
-@pytest.mark.parametrize("group,task,shard", [(256, 1 << 19, 1 << 17), (2, 2000, 700)])
-def test_repeats(docs, rng, monkeypatch, group, task, shard):
-    monkeypatch.setattr(repeats, "GROUP", group)
+@pytest.mark.parametrize("key,task,shard", [(1 << 17, 1 << 19, 1 << 17), (600, 2000, 700), (0, 2000, 700)])
+def test_repeats(docs, rng, monkeypatch, key, task, shard):
+    """Compared, partly counted and all counted."""
+    monkeypatch.setattr(repeats, "KEY_BYTES", key)
     monkeypatch.setattr(repeats, "TASK_BYTES", task)
     monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
     rows = list(enumerate(repeated_corpus(rng)))
@@ -260,14 +261,52 @@ def test_repeats(docs, rng, monkeypatch, group, task, shard):
     assert Counter(tuple(r) for r in got) == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
 
 
-def test_repeats_of_one_byte(docs, rng, monkeypatch):
-    """Runs of one byte in more lengths than GROUP share a key at every level, the last too."""
-    monkeypatch.setattr(repeats, "GROUP", 2)
-    rows = [(k, prose(rng, words=9) + "-" * n + prose(rng, words=9)) for k, n in enumerate((200, 201, 230, 275, 333, 333, 400))] + [(9, "=" * 200)]
+def held_repeats(docs, rows):
     got = repeats.digest(repeats.remove(docs(rows))).collect()
-    want = slow_repeats([t.encode() for _, t in rows])
+    want = slow_repeats([(t or "").encode() for _, t in rows])
     assert Counter(tuple(r) for r in got) == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
-    assert {r["doc_id"]: r["n_removed"] for r in got}[0] >= 200
+    return sum(w[1] for w in want)
+
+
+def test_repeats_of_one_byte(docs, rng):
+    """Runs of one byte in more lengths than a task takes, alone and inside prose."""
+    rows = [(k, "=" * (200 + k)) for k in range(300)]
+    assert held_repeats(docs, rows) == 104850
+    rows = [(k, prose(rng, words=9) + " " + "-" * (200 + k) + " " + prose(rng, words=9)) for k in range(300)]
+    assert held_repeats(docs, rows) > 104850
+
+
+def test_repeats_of_near_copies(docs, rng):
+    """More near copies of a text than a task compares, each edited elsewhere."""
+    base = prose(rng, words=200)
+    rows = []
+    for k in range(700):
+        at = rng.randrange(len(base))
+        rows.append((k, base[:at] + f"#{k}" + base[at + 1 :]))
+    assert held_repeats(docs, rows) > 0
+
+
+def test_repeats_of_equal_rows(docs, rng, spark):
+    """Equal rows, some without an id: spans grow with the rows, not with their square."""
+    rows = [(7, prose(rng, words=120))] * 500 + [(None, prose(rng, words=120))] * 60 + [(8, prose(rng, words=120))]
+    assert held_repeats(docs, rows) > 0
+    frame = docs(rows[:500])
+    assert repeats.remove(frame).selectExpr("max(size(spans))").first()[0] == 1
+
+
+def test_repeats_in_a_long_text(docs, rng):
+    passage = prose(rng, words=60)
+    long = prose(rng, words=30_000)
+    assert held_repeats(docs, [(0, long + passage + long[:5000]), (1, passage), (2, prose(rng, words=50))]) > 5000
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 10)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(400)], "a int, b int")
+    counts = rows.groupBy("a").count().withColumnRenamed("count", "n").where("a <> 5")
+    got = common.spread_join(rows, counts.withColumn("x", counts["a"] * 10), ["a"], ["b"])
+    assert got.columns == ["a", "b", "x"]
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, a * 10) for a, b in map(tuple, rows.collect()) if a != 5)
 
 
 def test_repeats_empty(docs):
