@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,23 @@ def spread_join(rows: DataFrame, counts: DataFrame, keys: list[str], salt: list[
     return rows.join(counts, [*keys, "_salt"]).drop("_salt")
 
 
+class Shared:
+    """A broadcast value that travels pickled by value, classes of this package included, so workers need no copy of the library."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.held = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"held": None}
+
+    @property
+    def value(self):
+        if self.held is None:
+            self.held = (pickle.loads(self.bytes.value),)
+        return self.held[0]
+
+
 def map_rows(
     df: DataFrame, function: Callable[..., Iterable[tuple]], schema: str, *, rows_per_batch: int = 20000
 ) -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.08
-LEAST_CHARS = 25
 BLOCK_CHARS = 4_000_000
 PROBE = 48
 
@@ -118,8 +117,8 @@ def contaminated(
     """(doc_id, item_id, distance): every document with a passage within rate edits a character of an item.
 
     distance is the least verified one. Texts are compared in lower case with
-    white space collapsed; null texts count as empty. Items under LEAST_CHARS
-    normalised characters match only by containment in full (distance 0). Repeated
+    white space collapsed; null texts count as empty. An item of n characters may
+    have int(rate * n) edits, whatever its length. Repeated
     document rows report their pairs each; repeated items report theirs each; empty
     items and empty tables give no rows. Other columns are not read.
     """
@@ -131,15 +130,11 @@ def contaminated(
         shared = spark.sparkContext.broadcast(block)
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items([x for x in shared.value if len(x[1]) >= LEAST_CHARS], rate)
-            short = Items([x for x in shared.value if len(x[1]) < LEAST_CHARS], 0.0)
+            items = Items(shared.value, rate)
             for batch in batches:
                 rows = []
                 for doc, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    value = normalise(value)
-                    for part in (items, short):
-                        if part.items:
-                            rows += [(doc, part.items[k][0], d) for k, d in part.matches(value).items()]
+                    rows += [(doc, items.items[k][0], d) for k, d in items.matches(normalise(value)).items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)],
@@ -182,10 +177,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_column: str = "
 def _holds(shared):
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items([x for x in shared.value if len(x[1]) >= LEAST_CHARS], ERROR_RATE)
-        short = Items([x for x in shared.value if len(x[1]) < LEAST_CHARS], 0.0)
-        parts = [p for p in (items, short) if p.items]
+        items = Items(shared.value, ERROR_RATE)
         for texts in batches:
-            yield pd.Series([any(p.matches(v) for p in parts) for v in map(normalise, texts)], dtype=bool)
+            yield pd.Series([bool(items.matches(v)) for v in map(normalise, texts)], dtype=bool)
 
     return holds

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, share_of
+from .common import Shared, held_out, share_of
 
 N_GRAMS = (1, 2, 3, 4)
 DIMENSIONS = 1 << 13
@@ -104,7 +104,7 @@ def identify(documents: DataFrame, id_column: str = "doc_id", text: str = "text"
     text where nothing could be learned. Repeated rows score alike; ties go to the
     first language in order; an empty table gives no rows.
     """
-    model = documents.sparkSession.sparkContext.broadcast(train(documents, id_column, text, language))
+    model = Shared(documents.sparkSession, train(documents, id_column, text, language))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

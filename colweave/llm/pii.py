@@ -1,25 +1,28 @@
-"""Personal data: fixed formats, and a character BiLSTM with CRF transitions learned from them.
-
-The network is trained in numpy on windows around the spans that the formats
-find in a bounded sample of documents. At work, overlapping windows of every
-text are decoded (Viterbi) and reconciled: each character takes its tag from
-the window in which it stands farthest from an edge. Every kind holds a digit or
-an at sign, so a window with neither decodes to nothing and is passed over.
-Decoded spans are added where they overlap no fixed one and have the least
-digits that their kind needs.
+"""Personal data: fixed formats, and a character BiLSTM with CRF transitions that goes beyond them.
+
+The network is trained in numpy on windows of a bounded sample of documents. Its
+labels are the spans of the formats and, in as many more windows, the same data
+as people write it where the formats stop: other separators, no country's
+sign, signs spelled out (see reworded). At work, overlapping windows cover every
+text from end to end; they are decoded (Viterbi) and reconciled: each character
+takes its tag from the window in which it stands farthest from an edge. A decoded
+span is added where it overlaps no fixed one and by the CRF's sums its
+characters are personal data with a mean probability of SURE; cards must pass Luhn's test.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPANS, Span, map_rows, outside, sample_rows, span_rows
+from .common import SPANS, Shared, Span, map_rows, outside, sample_rows, span_rows, stash
 
 # Kinds in order, and the formats of the contract.
 KINDS = ["email", "ip", "card", "phone"]
@@ -32,11 +35,13 @@ LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwx
 
 SAMPLE_DOCUMENTS = 20_000
 SAMPLE_WINDOWS = 1500
-WINDOW, STRIDE = 64, 32
-HIDDEN, STEPS, BATCH, LEARN = 16, 300, 64, 0.02
+#: One in PLAIN of the sample's windows without a digit or an at sign is a candidate for the training set; POOL: see learn.
+PLAIN, POOL = 16, 8
+WINDOW, STRIDE, CROP = 128, 96, 64
+HIDDEN, STEPS, BATCH, LEARN = 16, 800, 64, 0.02
+SURE = 0.9
 SYMBOLS = 129
 TAGS = 1 + 2 * len(KINDS)
-LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 7}
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -81,20 +86,46 @@ def base_spans(text: str) -> list[Span]:
 
 
 def symbols(text: str) -> np.ndarray:
-    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), SYMBOLS - 1)
-
-
-def window_starts(codes: np.ndarray) -> np.ndarray:
-    """Starts, multiples of STRIDE, of the windows that hold a digit or an at sign."""
-    at = np.flatnonzero((codes >= 48) & (codes <= 57) | (codes == 64))
-    cells = np.unique(at // STRIDE)
-    starts = np.unique(np.concatenate([cells - k for k in range(WINDOW // STRIDE)]))
-    return starts[starts >= 0] * STRIDE
-
-
-def cut(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([codes, np.zeros(WINDOW, codes.dtype)])
-    return padded[starts[:, None] + np.arange(WINDOW)]
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), SYMBOLS - 1).astype(np.uint8)
+
+
+def cut(codes: np.ndarray) -> np.ndarray:
+    """Windows at multiples of STRIDE that cover codes, the last one padded with zeros."""
+    n = max(1, -(-(len(codes) - WINDOW) // STRIDE) + 1) if len(codes) else 0
+    padded = np.zeros(n * STRIDE + WINDOW, codes.dtype)
+    padded[: len(codes)] = codes
+    return padded[np.arange(n)[:, None] * STRIDE + np.arange(WINDOW)]
+
+
+def reworded(kind: str, value: str, rng: random.Random) -> str:
+    """The value in a form that the fixed formats don't know."""
+    digits = _digits(value)
+    if kind == "email":
+        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" @ ", "."), ("[at]", ".")])
+        name, host = value.split("@", 1)
+        return name + at + host.replace(".", dot)
+    if kind == "ip":
+        return value.replace(".", rng.choice(["[.]", " . ", "(.)"]))
+    if kind == "card":
+        return rng.choice([".", "/", "_", "  "]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"001 {a} {b} {c}"])
+
+
+def reworded_text(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
+    """The text with its spans reworded, and where they are then; of overlapping spans the first stands."""
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    parts, out, at, size = [], [], 0, 0
+    for a, b, kind in sorted(spans):
+        if a < at:
+            continue
+        value = reworded(kind, text[a:b], rng)
+        parts += [text[at:a], value]
+        size += a - at
+        out.append((size, size + len(value), kind))
+        size += len(value)
+        at = b
+    return "".join([*parts, text[at:]]), out
 
 
 def tags_of(spans: list[Span], size: int) -> np.ndarray:
@@ -129,7 +160,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Parameters and passes of the network."""
 
-    def __init__(self, windows: np.ndarray, tags: np.ndarray) -> None:
+    def __init__(self, windows: np.ndarray, tags: np.ndarray, plain: np.ndarray | None = None) -> None:
+        """Train on windows, then again with those of the plain ones in which it has seen something."""
         rng = np.random.default_rng(7)
         h = HIDDEN
         self.p = {
@@ -140,7 +172,12 @@ class Tagger:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         for d in "01":
             self.p["x" + d][:, h : 2 * h] += 1
-        self._train(windows, tags, rng)
+        self._train(windows, tags, rng, STEPS)
+        if plain is not None and len(plain):
+            wrong = plain[self.spans(plain)[0].any(1)]
+            if len(wrong):
+                wrong = np.repeat(wrong, -(-len(windows) // (4 * len(wrong))), axis=0)
+                self._train(np.concatenate([windows, wrong]), np.concatenate([tags, np.zeros(wrong.shape, tags.dtype)]), rng, STEPS // 2)
 
     def _run(self, codes: np.ndarray, d: int, keep: list | None = None) -> np.ndarray:
         """Hidden states in the order of the text; d 1 reads backwards."""
@@ -161,13 +198,65 @@ class Tagger:
             out[t] = state
         return out
 
+    def _read(self, codes: np.ndarray, d: int) -> np.ndarray:
+        """As _run, for decoding: the gates' halves are in the weights, so one tanh serves all."""
+        h = HIDDEN
+        half = np.full(4 * h, 0.5, np.float32)
+        half[2 * h : 3 * h] = 1
+        inputs, weights = self.p[f"x{d}"] * half, self.p[f"h{d}"] * half
+        n, length = codes.shape
+        out = np.empty((length, n, h), np.float32)
+        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        z = np.empty((n, 4 * h), np.float32)
+        for t in range(length) if d == 0 else range(length - 1, -1, -1):
+            np.matmul(state, weights, out=z)
+            z += inputs[codes[:, t]]
+            np.tanh(z, out=z)
+            gates = 0.5 + 0.5 * z
+            cell *= gates[:, h : 2 * h]
+            cell += gates[:, :h] * z[:, 2 * h : 3 * h]
+            state = gates[:, 3 * h :] * np.tanh(cell)
+            out[t] = state
+        return out
+
     def emissions(self, codes: np.ndarray) -> np.ndarray:
-        states = np.concatenate([self._run(codes, 0), self._run(codes, 1)], 2)
-        return states @ self.p["o"] + self.p["b"]
+        return np.concatenate([self._read(codes, 0), self._read(codes, 1)], 2) @ self.p["o"] + self.p["b"]
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """Best tags for each window."""
-        e = self.emissions(codes)
+    def plain(self, e: np.ndarray) -> np.ndarray:
+        """Windows whose best path is plain text throughout, by the paths' scores alone."""
+        move = (self.p["t"] + ALLOWED)[:, :, None]
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        score = e[0]
+        for t in range(1, len(e)):
+            score = (score[:, None, :] + move).max(0) + e[t]
+        return score.max(0) <= e[:, 0].sum(0) + (len(e) - 1) * self.p["t"][0, 0] + 1e-3
+
+    def spans(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each window its best tags and, by character, the probability that the tag is not plain text's."""
+        tags, sure = np.zeros(codes.shape, np.uint8), np.zeros(codes.shape, np.float32)
+        for k in range(0, len(codes), 512):
+            e = self.emissions(codes[k : k + 512])
+            rows = np.flatnonzero(~self.plain(e))
+            if len(rows):
+                part = np.ascontiguousarray(e[:, rows])
+                tags[k + rows] = self.decode(part)
+                ahead, behind, total = self.passes(part)
+                sure[k + rows] = 1 - np.exp(ahead[:, :, 0] + behind[:, :, 0] - total).T
+        return tags, sure
+
+    def passes(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log sums over the paths up to and from each character, and over all."""
+        move = self.p["t"] + ALLOWED
+        ahead, behind = np.empty_like(e), np.zeros_like(e)
+        ahead[0] = e[0]
+        for t in range(1, len(e)):
+            ahead[t] = _logsumexp(ahead[t - 1][:, :, None] + move, 1) + e[t]
+        for t in range(len(e) - 1, 0, -1):
+            behind[t - 1] = _logsumexp((behind[t] + e[t])[:, None, :] + move, 2)
+        return ahead, behind, _logsumexp(ahead[-1], 1)
+
+    def decode(self, e: np.ndarray) -> np.ndarray:
+        """Best tags for each window, from emissions."""
         move = self.p["t"] + ALLOWED
         score = e[0].copy()
         back = np.empty(e.shape, np.int8)
@@ -175,27 +264,32 @@ class Tagger:
             both = score[:, :, None] + move
             back[t] = both.argmax(1)
             score = np.take_along_axis(both, back[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
-        out = np.empty(codes.shape, np.uint8)
+        out = np.empty((e.shape[1], len(e)), np.uint8)
         at = score.argmax(1)
-        rows = np.arange(len(codes))
+        rows = np.arange(e.shape[1])
         for t in range(len(e) - 1, -1, -1):
             out[:, t] = at
             if t:
                 at = back[t][rows, at]
         return out
 
-    def _train(self, windows: np.ndarray, tags: np.ndarray, rng: np.random.Generator) -> None:
+    def _train(self, windows: np.ndarray, tags: np.ndarray, rng: np.random.Generator, steps: int) -> None:
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step in range(1, STEPS + 1):
-            pick = rng.integers(0, len(windows), min(BATCH, len(windows)))
-            grads = self._gradients(windows[pick], tags[pick])
+        # Crops of half a window: around a random tagged character where there is one, else anywhere.
+        some = tags > 0
+        for step in range(1, steps + 1):
+            pick = rng.integers(0, len(windows), BATCH)
+            at = (rng.random((BATCH, WINDOW)) * (some[pick] + 1e-6)).argmax(1)
+            start = np.clip(at - rng.integers(0, CROP, BATCH), 0, WINDOW - CROP)
+            place = start[:, None] + np.arange(CROP)
+            grads = self._gradients(np.take_along_axis(windows[pick], place, 1), np.take_along_axis(tags[pick], place, 1))
             size = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
             for k, g in grads.items():
                 g = g * min(1.0, 5.0 / (size + 1e-9))
                 mean[k] = 0.9 * mean[k] + 0.1 * g
                 square[k] = 0.99 * square[k] + 0.01 * g * g
-                rate = LEARN * min(1.0, 2 * (1 - step / (STEPS + 1)))
+                rate = LEARN * min(1.0, 2 * (1 - step / (steps + 1)))
                 self.p[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
     def _gradients(self, codes: np.ndarray, tags: np.ndarray) -> dict[str, np.ndarray]:
@@ -204,17 +298,11 @@ class Tagger:
         states = np.concatenate([self._run(codes, d, kept[d]) for d in (0, 1)], 2)
         e = states @ p["o"] + p["b"]
         move = p["t"] + ALLOWED
-        ahead = np.empty_like(e)
-        ahead[0] = e[0]
-        for t in range(1, length):
-            ahead[t] = _logsumexp(ahead[t - 1][:, :, None] + move, 1) + e[t]
-        total = _logsumexp(ahead[-1], 1)
-        behind = np.zeros_like(e)
+        ahead, behind, total = self.passes(e)
         grad_t = np.zeros_like(p["t"])
         rows = np.arange(n)
         for t in range(length - 1, 0, -1):
             after = (behind[t] + e[t])[:, None, :] + move
-            behind[t - 1] = _logsumexp(after, 2)
             grad_t += np.exp(ahead[t - 1][:, :, None] + after - total[:, None, None]).sum(0)
             np.subtract.at(grad_t, (tags[:, t - 1], tags[:, t]), 1)
         de = np.exp(ahead + behind - total[None, :, None])
@@ -237,26 +325,23 @@ class Tagger:
         return grads
 
 
-def reconcile(size: int, starts: np.ndarray, decoded: np.ndarray) -> np.ndarray:
-    """Tags of the whole text: each character's from the window where it is farthest from an edge, the earlier of equals."""
-    tags, held = np.zeros(size + WINDOW, np.uint8), np.zeros(size + WINDOW, np.int32)
-    depth = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW))
-    for a, row in zip(starts, decoded, strict=True):
-        better = depth > held[a : a + WINDOW]
-        tags[a : a + WINDOW][better] = row[better]
-        held[a : a + WINDOW][better] = depth[better]
-    return tags[:size]
+def reconcile(size: int, windows: np.ndarray) -> np.ndarray:
+    """Values of the whole text: each character's from the window where it is farthest from an edge, the earlier of equals."""
+    margin = (WINDOW - STRIDE) // 2
+    parts = [windows[0, : WINDOW - margin], windows[1:, margin : WINDOW - margin].ravel(), windows[-1, WINDOW - margin :]]
+    return np.concatenate(parts)[:size]
 
 
-def spans_of(text: str, tags: np.ndarray) -> list[Span]:
+def spans_of(text: str, tags: np.ndarray, sure: np.ndarray) -> list[Span]:
+    """Runs of one kind's tags whose mean probability is SURE or more; cards must pass Luhn's test."""
     out: list[Span] = []
-    for a in np.flatnonzero(tags % 2 == 1):
-        kind, b = int(tags[a] - 1) // 2, int(a) + 1
+    for a in np.flatnonzero(tags % 2 == 1).tolist():
+        kind, b = int(tags[a] - 1) // 2, a + 1
         while b < len(tags) and tags[b] == tags[a] + 1:
             b += 1
-        name, part = KINDS[kind], text[a:b]
-        if len(part) >= 6 and len(_digits(part)) >= LEAST_DIGITS[name] and (name != "email" or "@" in part):
-            out.append((int(a), b, name))
+        b = min(b, len(text))
+        if b - a > 1 and float(sure[a:b].mean()) >= SURE and (KINDS[kind] != "card" or _luhn(_digits(text[a:b]))):
+            out.append((a, b, KINDS[kind]))
     return out
 
 
@@ -266,46 +351,62 @@ class Finder:
     def __init__(self, tagger: Tagger | None) -> None:
         self.tagger = tagger
 
+    def learned(self, texts: list[str]) -> Iterator[list[Span]]:
+        """The network's spans for each text; the windows of a run of texts are decoded together."""
+        windows = [cut(symbols(t)) for t in texts]
+        tags, sure = self.tagger.spans(np.concatenate(windows)) if windows else (None, None)
+        at = 0
+        for t, w in zip(texts, windows, strict=True):
+            mine = slice(at, at + len(w))
+            at += len(w)
+            yield spans_of(t, reconcile(len(t), tags[mine]), reconcile(len(t), sure[mine])) if tags[mine].any() else []
+
     def __call__(self, texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
-        """(fixed, added) spans for each text; the windows of a run of texts are decoded together."""
-        for k in range(0, len(texts), 256):
-            part = texts[k : k + 256]
-            base = [base_spans(t) for t in part]
-            if not self.tagger:
-                yield from ((b, []) for b in base)
-                continue
-            codes = [symbols(t) for t in part]
-            starts = [window_starts(c) for c in codes]
-            windows = [cut(c, s) for c, s in zip(codes, starts, strict=True)]
-            every = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.int64)
-            decoded = [self.tagger.decode(every[j : j + 2048]) for j in range(0, len(every), 2048)]
-            decoded = np.concatenate(decoded) if decoded else np.zeros((0, WINDOW), np.uint8)
-            at = 0
-            for t, b, s in zip(part, base, starts, strict=True):
-                mine = decoded[at : at + len(s)]
-                at += len(s)
-                yield b, outside(spans_of(t, reconcile(len(t), s, mine)), b) if mine.any() else []
+        """(fixed, added) spans for each text."""
+        for k in range(0, len(texts), 64):
+            part = texts[k : k + 64]
+            more = self.learned(part) if self.tagger else ([] for _ in part)
+            for t, found in zip(part, more, strict=True):
+                base = base_spans(t)
+                yield base, outside(found, base)
+
+
+def examples(text: str) -> Iterator[tuple[int, bytes, bytes]]:
+    """(class, window, tags) of a text and of its reworded form; classes: 0 plain, 1 with digits or at signs, 2 with spans, 3 reworded."""
+    base = base_spans(text)
+    for k, (t, spans) in enumerate([(text, base), reworded_text(text, base)] if base else [(text, base)]):
+        codes = symbols(t)
+        near = (codes >= 48) & (codes <= 57) | (codes == 64)
+        for w, y, some in zip(cut(codes), cut(tags_of(spans, len(t))), cut(near), strict=True):
+            if y.any():
+                yield 2 + k, w.tobytes(), y.tobytes()
+            elif not k and (some.any() or zlib.crc32(w.tobytes()) % PLAIN == 0):
+                yield int(some.any()), w.tobytes(), y.tobytes()
 
 
 def learn(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> Finder:
-    """Train on at most SAMPLE_WINDOWS windows with a fixed span and as many without, from at most SAMPLE_DOCUMENTS documents."""
+    """Train on at most SAMPLE_WINDOWS windows of each class of examples, from at most SAMPLE_DOCUMENTS documents.
+
+    POOL times as many plain windows are looked through for those that the first training gets wrong.
+    """
 
     def found(texts):
         for t in texts:
-            codes = symbols(t or "")
-            starts = window_starts(codes)
-            if len(starts):
-                tags = cut(tags_of(base_spans(t), len(t)), starts)
-                for w, y in zip(cut(codes, starts), tags, strict=True):
-                    yield bool(y.any()), w.astype(np.uint8).tobytes(), y.tobytes()
+            yield from examples(t or "")
 
     rows = sample_rows(documents.select(id_column, F.col(text).alias("_text")), id_column, SAMPLE_DOCUMENTS).select("_text")
-    rows = map_rows(rows, found, "some boolean, w binary, y binary").distinct()
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("some").orderBy(F.md5("w"), "w", "y"))).where(F.col("r") <= SAMPLE_WINDOWS)
-    got = sorted((bytes(w), bytes(y)) for w, y in rows.select("w", "y").collect())
-    windows = np.array([np.frombuffer(w, np.uint8) for w, _ in got], np.int64).reshape(-1, WINDOW)
-    tags = np.array([np.frombuffer(y, np.uint8) for _, y in got], np.int64).reshape(-1, WINDOW)
-    return Finder(Tagger(windows, tags) if tags.any() else None)
+    rows = stash(map_rows(rows, found, "c int, w binary, y binary").distinct())
+    got = []
+    for c, most in enumerate((POOL * SAMPLE_WINDOWS, SAMPLE_WINDOWS, SAMPLE_WINDOWS, SAMPLE_WINDOWS)):
+        part = rows.where(F.col("c") == c).orderBy(F.md5("w"), "w", "y").limit(most)
+        got.append(sorted(((bytes(w), bytes(y)) for w, y in part.select("w", "y").collect()), key=lambda x: (zlib.crc32(x[0]), *x)))
+
+    def windows(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        w, y = (np.frombuffer(b"".join(r[k] for r in rows), np.uint8).reshape(-1, WINDOW) for k in (0, 1))
+        return w, y.astype(np.int64)
+
+    w, y = windows([*got[0][:SAMPLE_WINDOWS], *got[1], *got[2], *got[3]])
+    return Finder(Tagger(w, y, windows(got[0])[0]) if y.any() else None)
 
 
 def find(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,7 +417,7 @@ def find(documents: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     and null ids each give their row; where the sample has no fixed span nothing is
     learned and none is added; an empty table gives no rows. Other columns are not read.
     """
-    finder = documents.sparkSession.sparkContext.broadcast(learn(documents, id_column, text))
+    finder = Shared(documents.sparkSession, learn(documents, id_column, text))
 
     def found(ids, texts):
         for i, (base, more) in zip(ids, finder.value([t or "" for t in texts]), strict=True):
@@ -342,7 +443,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with personal data in the text replaced by <EMAIL>, <IP>, <CARD>, <PHONE>; null texts stay null."""
-    finder = documents.sparkSession.sparkContext.broadcast(learn(documents, id_column, text))
+    finder = Shared(documents.sparkSession, learn(documents, id_column, text))
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import Shared, bounded_sample, held_out
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, L2 = 80, 4, 64, 0.15, 1.0
@@ -142,7 +142,7 @@ def train(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
 
 def scorer(model: Trees, spark):
     """A column function: text -> score."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark, model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
