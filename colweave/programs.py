@@ -46,8 +46,6 @@ COLUMNS = {
     "fh": "CAST(l_linenumber / CAST(4 AS DOUBLE) AS DOUBLE)",
     "gl": "CAST(l_linenumber AS FLOAT)",
     "gq": "CAST(l_quantity AS FLOAT)",
-    "g3": "CAST(3 AS FLOAT)",
-    "g25": "CAST(25 AS FLOAT)",
     "f15": "CAST(1.5 AS DOUBLE)",
 }
 
@@ -59,254 +57,185 @@ class Sample:
     totals: str = ""
 
 
-NET = "(COALESCE(qn, 0) * CAST(COALESCE(NULLIF(pn, 0), 0) AS BIGINT) * (10000 - COALESCE(dn, 0))) // 10000"
-VALID = "(COALESCE(pn, 0) <> 0 AND COALESCE(qn, 0) > 0)"
-SPLIT = """INPUT lineitem (qn i32?, pn i32?, dn i32?, delay i32)
-WITH
-  units = coalesce(qn, 0),
-  asked = nullif(pn, 0),
-  cost = coalesce(asked, 0),
-  cut = coalesce(dn, 0),
-  net = i64(units) * i64(cost) * (10000 - i64(cut)) / 10000,
-  valid = asked IS NOT NULL AND units > 0,
-  many = valid AND units >= 25,
-  dear = valid AND cost >= 5000,
-  tardy = valid AND delay > 30
+#: An order's value with gaps filled, and whether it has a price; the programs on nulls share them.
+VALUE = "(CAST(COALESCE(qn, 1) AS BIGINT) * NULLIF(pn, 0) - COALESCE(dn, 250))"
+ORDER = """INPUT lineitem (qn i32?, pn i32?, dn i32?, delay i32)
+WITH units = coalesce(qn, 1), each = nullif(pn, 0), off = coalesce(dn, 250), value = i64(units) * i64(each) - i64(off), priced = each IS NOT NULL
 SELECT """
 
 SAMPLES: dict[str, Sample] = {
-    "simple_arithmetic": Sample(
-        "INPUT (qty i32, line i32); SELECT (qty + line) * 7 AS scaled, sum(qty) AS total;",
-        "CAST((qty + line) * 7 AS INT) AS scaled",
-        "CAST(SUM(qty) AS INT) AS total",
-    ),
-    "predicate_ifelse": Sample(
-        "INPUT (qty i32, delay i32) WITH good = qty > 10 AND delay < 30 SELECT ifelse(good, i32(1), i32(0)) AS flag, good AS good",
-        "CASE WHEN qty > 10 AND delay < 30 THEN 1 ELSE 0 END AS flag, (qty > 10 AND delay < 30) AS good",
-    ),
-    "casts_and_promotions": Sample(
-        "INPUT (qty16 i16, prt16 i16, line i32) SELECT i32(qty16) + i32(prt16) * line AS mixed",
-        "CAST(CAST(qty16 AS INT) + CAST(prt16 AS INT) * line AS INT) AS mixed",
-    ),
-    "multi_type_projection": Sample(
-        """INPUT (line8 i8, qty16 i16, prt32 i32, ord i64, line i32)
-        SELECT (line8 << 1) & 127 AS lane, greatest(qty16 << 1, 60) AS bounded, (prt32 + line) >> 2 AS quarter, least(ord, ord * 3) AS smaller""",
-        "CAST((line8 * 2) & 127 AS TINYINT) AS lane, CAST(GREATEST(qty16 * 2, 60) AS SMALLINT) AS bounded, CAST((prt32 + line) >> 2 AS INT) AS quarter, LEAST(ord, ord * 3) AS smaller",
-    ),
-    "deep_cast_chain": Sample(
-        "INPUT (line8 i8, qty i32) WITH a = i32(line8), b = a + qty, c = b * 100 SELECT i64(i16(c)) AS back",
-        "CAST((CAST(line8 AS INT) + qty) * 100 AS BIGINT) AS back",
-    ),
-    "aggregate_pack": Sample(
-        "INPUT (price i64, three i64, returned i1) SELECT sum(price) AS total, sum(price) FILTER (WHERE returned) AS back, product(three) AS power, count_if(returned) AS n",
+    # Whole numbers.
+    "pallet_load": Sample("INPUT (qty i32, line i32); SELECT qty * 12 - line AS load, sum(qty - line) AS spare;", "qty * 12 - line AS load", "CAST(SUM(qty - line) AS INT) AS spare"),
+    "shipping_class": Sample(
+        "INPUT (qty i32, delay i32) WITH heavy = qty >= 40, slow = delay >= 45 SELECT ifelse(heavy, ifelse(slow, i8(3), i8(2)), i8(0)) AS class, heavy OR slow AS watched",
+        "CAST(CASE WHEN qty >= 40 THEN CASE WHEN delay >= 45 THEN 3 ELSE 2 END ELSE 0 END AS TINYINT) AS class, (qty >= 40 OR delay >= 45) AS watched",
+    ),
+    "width_ladder": Sample("INPUT (line8 i8, qty16 i16, prt32 i32, ord i64) SELECT i64(line8) + i64(qty16) * i64(prt32) - ord AS rung", "CAST(line8 AS BIGINT) + CAST(qty16 AS BIGINT) * prt32 - ord AS rung"),
+    "lane_limits": Sample(
+        "INPUT (line8 i8, qty16 i16, price32 i32, sup i64) SELECT line8 | 64 AS tagged, least(qty16 * 3, 90) AS capped, (price32 - 12) >> 3 AS eighth, greatest(sup, -sup) AS size",
+        "CAST(line8 | 64 AS TINYINT) AS tagged, CAST(LEAST(qty16 * 3, 90) AS SMALLINT) AS capped, CAST((price32 - 12) >> 3 AS INT) AS eighth, GREATEST(sup, -sup) AS size",
+    ),
+    "there_and_back": Sample(
+        "INPUT (qty16 i16, line8 i8) WITH wide = i64(qty16) * 37, near = i32(wide) + i32(line8) SELECT i16(near) AS home, f64(near) AS far",
+        "CAST(qty16 * 37 + line8 AS SMALLINT) AS home, CAST(qty16 * 37 + line8 AS DOUBLE) AS far",
+    ),
+    "clamped_part": Sample("INPUT (prt32 i32, line i32) SELECT greatest(least(prt32, 400), line * 20) AS held", "GREATEST(LEAST(prt32, 400), line * 20) AS held"),
+    "narrow_bounds": Sample("INPUT (qty16 i16, prt16 i16) SELECT greatest(least(qty16 * 5, 120), prt16 >> 4) AS between", "CAST(GREATEST(LEAST(qty16 * 5, 120), prt16 >> 4) AS SMALLINT) AS between"),
+    "courier_points": Sample(
+        """INPUT (price i64, disc i32, line i32, delay i32)
+        WITH points = i64(delay) * 3 + ifelse(disc <= 0, i64(250), i64(40)) - ifelse(line > 4, price / 8000, price / 9000)
+        SELECT points AS points, count_if(points < 0) AS owing""",
+        "CAST(delay * 3 + CASE WHEN disc <= 0 THEN 250 ELSE 40 END - CASE WHEN line > 4 THEN price // 8000 ELSE price // 9000 END AS BIGINT) AS points",
+        "COUNT(*) FILTER (WHERE delay * 3 + CASE WHEN disc <= 0 THEN 250 ELSE 40 END - CASE WHEN line > 4 THEN price // 8000 ELSE price // 9000 END < 0) AS owing",
+    ),
+    "invoice_pack": Sample(
+        """INPUT (qty i32, price i64, disc i32, tax i32)
+        WITH listed = price * i64(qty), kept = listed - listed * i64(disc) / 10000, due = kept + kept * i64(tax) / 10000
+        SELECT due AS due, sum(due) FILTER (WHERE disc >= 500) AS reduced, min(kept) AS least_kept, max(due) AS most_due""",
+        f"{(DUE := '((price * qty - price * qty * disc // 10000) + (price * qty - price * qty * disc // 10000) * tax // 10000)')} AS due",
+        f"CAST(SUM({DUE}) FILTER (WHERE disc >= 500) AS BIGINT) AS reduced, MIN(price * qty - price * qty * disc // 10000) AS least_kept, MAX({DUE}) AS most_due",
+    ),
+    # Totals.
+    "ledger_totals": Sample(
+        "INPUT (price i64, two i64, returned i1) SELECT count_if(returned) AS n, product(two) AS power, max(price) AS high, sum(price) FILTER (WHERE returned) AS back",
         "",
-        "CAST(SUM(price) AS BIGINT) AS total, CAST(SUM(price) FILTER (WHERE returned) AS BIGINT) AS back, CAST(PRODUCT(three) AS BIGINT) AS power, COUNT(*) FILTER (WHERE returned) AS n",
+        "COUNT(*) FILTER (WHERE returned) AS n, CAST(PRODUCT(two) AS BIGINT) AS power, MAX(price) AS high, CAST(SUM(price) FILTER (WHERE returned) AS BIGINT) AS back",
     ),
-    "min_max_bounds": Sample(
-        "INPUT (price32 i32, prt32 i32, ord32 i32) SELECT least(greatest(price32, prt32), ord32) AS held",
-        "LEAST(GREATEST(price32, prt32), ord32) AS held",
-    ),
-    "shifted_aggregate_bundle": Sample(
-        "INPUT (price i64) SELECT sum(price << 1) AS doubled, min(price >> 2) AS low, max(srl(price, 2)) AS high",
+    "scaled_extremes": Sample(
+        "INPUT (ord i64) SELECT min(ord * 5 - 3) AS low, max(srl(ord, 1)) AS high, sum(ord << 3) AS total",
         "",
-        "CAST(SUM(price * 2) AS BIGINT) AS doubled, MIN(price >> 2) AS low, MAX(price >> 2) AS high",
+        "MIN(ord * 5 - 3) AS low, MAX(ord >> 1) AS high, CAST(SUM(ord * 8) AS BIGINT) AS total",
     ),
-    "common_expr_aggregates": Sample(
-        "INPUT (qty64 i64, ord i64, two i64) WITH shared = (qty64 + ord) * 100 SELECT shared AS shared, sum(shared) AS total, product(two) AS power, min(shared) AS low",
-        "(qty64 + ord) * 100 AS shared",
-        "CAST(SUM((qty64 + ord) * 100) AS BIGINT) AS total, CAST(PRODUCT(two) AS BIGINT) AS power, MIN((qty64 + ord) * 100) AS low",
+    "reused_gap": Sample(
+        "INPUT (price i64, prt i64, three i64) WITH gap = price - prt * 11 SELECT gap AS gap, sum(gap) AS total, min(gap) AS low, product(three) AS power, count_if(gap > 5000000) AS wide",
+        "price - prt * 11 AS gap",
+        "CAST(SUM(price - prt * 11) AS BIGINT) AS total, MIN(price - prt * 11) AS low, CAST(PRODUCT(three) AS BIGINT) AS power, COUNT(*) FILTER (WHERE price - prt * 11 > 5000000) AS wide",
     ),
-    "multi_sum_bases": Sample(
-        "INPUT (qty i32, line i32) SELECT sum(qty) AS plain, sum(qty + line) AS moved, sum(qty << 1) AS doubled, sum(qty & 15) AS low",
+    "four_sums": Sample(
+        "INPUT (disc i32, tax i32) SELECT sum(disc) AS whole, sum(disc - tax) AS rest, sum(disc >> 2) AS quarter, sum(tax & 96) AS masked",
         "",
-        "CAST(SUM(qty) AS INT) AS plain, CAST(SUM(qty + line) AS INT) AS moved, CAST(SUM(qty * 2) AS INT) AS doubled, CAST(SUM(qty & 15) AS INT) AS low",
+        "CAST(SUM(disc) AS INT) AS whole, CAST(SUM(disc - tax) AS INT) AS rest, CAST(SUM(disc >> 2) AS INT) AS quarter, CAST(SUM(tax & 96) AS INT) AS masked",
     ),
-    "revenue_projection": Sample("INPUT (fp f64, fd f64) SELECT fp * (1.0 - fd) AS revenue", "fp * (1.0::DOUBLE - fd) AS revenue"),
-    "tpch_q6_filter": Sample(
-        """INPUT (fp f64, fd f64, qty i32, shipped i32)
-        WITH cheap = shipped >= 19940101 AND shipped <= 19961231 AND fd >= 0.03125 AND fd <= 0.0625 AND qty < 24
-        SELECT sum(fp * (1.0 - fd)) FILTER (WHERE cheap) AS revenue""",
+    "filtered_extremes": Sample(
+        "INPUT (price i64, ord i64, qty i32, returned i1) SELECT min(price) FILTER (WHERE returned) AS low, max(ord) FILTER (WHERE qty >= 49) AS last, product(ord) FILTER (WHERE qty > 99) AS none",
         "",
-        "COALESCE(SUM(fp * (1.0::DOUBLE - fd)) FILTER (WHERE shipped BETWEEN 19940101 AND 19961231 AND fd >= 0.03125 AND fd <= 0.0625 AND qty < 24), 0) AS revenue",
+        "MIN(price) FILTER (WHERE returned) AS low, MAX(ord) FILTER (WHERE qty >= 49) AS last, CAST(1 AS BIGINT) AS none",
     ),
-    "complex_filter": Sample(
-        "INPUT (fp f64, fd f64, ft f64) WITH revenue = fp * (1.0 - fd) SELECT revenue > 1000.0 AND ft < 0.05 AS wanted",
-        "(fp * (1.0::DOUBLE - fd) > 1000 AND ft < 0.05::DOUBLE) AS wanted",
+    # Floats.
+    "net_of_rebate": Sample("INPUT (fp f64, fd f64) SELECT fp - fp * fd AS net", "fp - fp * fd AS net"),
+    "taxed_outlier": Sample("INPUT (fp f64, fd f64, ft f64) WITH gross = fp + fp * ft SELECT gross >= 20000.0 OR fd > 0.05 AS outlier", "(fp + fp * ft >= 20000 OR fd > 0.05::DOUBLE) AS outlier"),
+    "q6_window": Sample(
+        "INPUT (fp f64, fd f64, qty i32, shipped i32) WITH wanted = shipped >= 19950301 AND shipped < 19970301 AND fd > 0.015625 AND fd <= 0.0625 AND qty <= 30 SELECT sum(fp * fd) FILTER (WHERE wanted) AS saved",
+        "",
+        "COALESCE(SUM(fp * fd) FILTER (WHERE shipped >= 19950301 AND shipped < 19970301 AND fd > 0.015625 AND fd <= 0.0625 AND qty <= 30), 0) AS saved",
     ),
-    "tpch_q1_pricing_summary": Sample(
-        """INPUT (fq f64, fp f64, fd f64, ft f64, shipped i32, flag8 i8, status8 i8)
-        WITH old = shipped <= 19980902, af = old AND flag8 = 1 AND status8 = 1, no = old AND flag8 = 2 AND status8 = 2,
-          cut = fp * (1.0 - fd), charge = cut * (1.0 + ft)
-        SELECT sum(fq) FILTER (WHERE old) AS sum_qty, sum(fp) FILTER (WHERE old) AS sum_base, sum(cut) FILTER (WHERE old) AS sum_cut,
-          sum(charge) FILTER (WHERE old) AS sum_charge, sum(fd) FILTER (WHERE old) AS sum_disc, count_if(old) AS n,
-          sum(fq) FILTER (WHERE af) AS af_qty, sum(charge) FILTER (WHERE af) AS af_charge, count_if(af) AS af_n,
-          sum(fq) FILTER (WHERE no) AS no_qty, sum(charge) FILTER (WHERE no) AS no_charge, count_if(no) AS no_n""",
+    "q1_by_status": Sample(
+        """INPUT (fq f64, fp f64, fd f64, ft f64, shipped i32, status8 i8)
+        WITH done = shipped <= 19970630 AND status8 = 1, open = shipped <= 19970630 AND status8 = 2, net = fp - fp * fd, gross = net + net * ft
+        SELECT sum(fq) FILTER (WHERE done) AS done_qty, sum(net) FILTER (WHERE done) AS done_net, sum(gross) FILTER (WHERE done) AS done_gross, count_if(done) AS done_n,
+          sum(fq) FILTER (WHERE open) AS open_qty, sum(net) FILTER (WHERE open) AS open_net, sum(gross) FILTER (WHERE open) AS open_gross, count_if(open) AS open_n""",
         "",
         ", ".join(
-            f"COALESCE(SUM({x}) FILTER (WHERE {p}), 0) AS {n}"
-            for n, x, p in (
-                ("sum_qty", "fq", "shipped <= 19980902"),
-                ("sum_base", "fp", "shipped <= 19980902"),
-                ("sum_cut", "fp * (1.0::DOUBLE - fd)", "shipped <= 19980902"),
-                ("sum_charge", "fp * (1.0::DOUBLE - fd) * (1.0::DOUBLE + ft)", "shipped <= 19980902"),
-                ("sum_disc", "fd", "shipped <= 19980902"),
-                ("af_qty", "fq", "shipped <= 19980902 AND flag8 = 1 AND status8 = 1"),
-                ("af_charge", "fp * (1.0::DOUBLE - fd) * (1.0::DOUBLE + ft)", "shipped <= 19980902 AND flag8 = 1 AND status8 = 1"),
-                ("no_qty", "fq", "shipped <= 19980902 AND flag8 = 2 AND status8 = 2"),
-                ("no_charge", "fp * (1.0::DOUBLE - fd) * (1.0::DOUBLE + ft)", "shipped <= 19980902 AND flag8 = 2 AND status8 = 2"),
-            )
+            f"COALESCE(SUM({x}) FILTER (WHERE shipped <= 19970630 AND status8 = {k}), 0) AS {n}_{m}"
+            for k, n in ((1, "done"), (2, "open"))
+            for m, x in (("qty", "fq"), ("net", "fp - fp * fd"), ("gross", "fp - fp * fd + (fp - fp * fd) * ft"))
         )
-        + ", COUNT(*) FILTER (WHERE shipped <= 19980902) AS n, COUNT(*) FILTER (WHERE shipped <= 19980902 AND flag8 = 1 AND status8 = 1) AS af_n"
-        ", COUNT(*) FILTER (WHERE shipped <= 19980902 AND flag8 = 2 AND status8 = 2) AS no_n",
-    ),
-    "lineitem_feature_pack": Sample(
-        """INPUT (qty i32, price i64, disc i32, tax i32, delay i32)
-        WITH gross = price * i64(qty), net = gross * (10000 - i64(disc)) / 10000, full = net * (10000 + i64(tax)) / 10000
-        SELECT full AS full, sum(full) FILTER (WHERE delay > 30) AS late, sum(full) FILTER (WHERE qty >= 25) AS large, min(full) AS low, max(full) AS high""",
-        "((price * qty * (10000 - disc)) // 10000 * (10000 + tax)) // 10000 AS full",
-        """CAST(SUM(((price * qty * (10000 - disc)) // 10000 * (10000 + tax)) // 10000) FILTER (WHERE delay > 30) AS BIGINT) AS late,
-        CAST(SUM(((price * qty * (10000 - disc)) // 10000 * (10000 + tax)) // 10000) FILTER (WHERE qty >= 25) AS BIGINT) AS large,
-        MIN(((price * qty * (10000 - disc)) // 10000 * (10000 + tax)) // 10000) AS low, MAX(((price * qty * (10000 - disc)) // 10000 * (10000 + tax)) // 10000) AS high""",
-    ),
-    "lineitem_branchy_score": Sample(
-        """INPUT (qty i32, price i64, disc i32, delay i32)
-        WITH score = price * i64(qty) - i64(disc) * 17 - ifelse(delay > 30, i64(500), i64(0)) + ifelse(qty >= 25, i64(1000), i64(100))
-        SELECT score AS score, count_if(score > 1000000) AS high""",
-        "price * qty - disc * 17 - CASE WHEN delay > 30 THEN 500 ELSE 0 END + CASE WHEN qty >= 25 THEN 1000 ELSE 100 END AS score",
-        "COUNT(*) FILTER (WHERE price * qty - disc * 17 - CASE WHEN delay > 30 THEN 500 ELSE 0 END + CASE WHEN qty >= 25 THEN 1000 ELSE 100 END > 1000000) AS high",
-    ),
-    "fp_dot_product_f64": Sample(
-        "INPUT (fl f64, fq f64) SELECT sum(fl * fq) AS dot, sum(fl * fl) AS left_norm, sum(fq * fq) AS right_norm",
-        "",
-        "SUM(fl * fq) AS dot, SUM(fl * fl) AS left_norm, SUM(fq * fq) AS right_norm",
-    ),
-    "linear_regression_moments_f32": Sample(
-        "INPUT (gl f32, gq f32, g3 f32, g25 f32) WITH u = gl - g3, v = gq - g25 SELECT sum(u) AS su, sum(u * u) AS suu, sum(v) AS sv, sum(u * v) AS suv",
-        "",
-        "CAST(SUM(CAST(gl - g3 AS DOUBLE)) AS FLOAT) AS su, CAST(SUM(CAST((gl - g3) * (gl - g3) AS DOUBLE)) AS FLOAT) AS suu, "
-        "CAST(SUM(CAST(gq - g25 AS DOUBLE)) AS FLOAT) AS sv, CAST(SUM(CAST((gl - g3) * (gq - g25) AS DOUBLE)) AS FLOAT) AS suv",
-    ),
-    "stddev_moments_f64": Sample(
-        """INPUT (fq f64, returned bool) SELECT sum(fq) FILTER (WHERE returned) AS s, sum(fq * fq) FILTER (WHERE returned) AS ss,
-        min(fq) FILTER (WHERE returned) AS low, max(fq) FILTER (WHERE returned) AS high, count_if(returned) AS n""",
-        "",
-        "SUM(fq) FILTER (WHERE returned) AS s, SUM(fq * fq) FILTER (WHERE returned) AS ss, MIN(fq) FILTER (WHERE returned) AS low, MAX(fq) FILTER (WHERE returned) AS high, COUNT(*) FILTER (WHERE returned) AS n",
-    ),
-    "covariance_moments_f64": Sample(
-        "INPUT (fl f64, fq f64) SELECT sum(fl) AS sx, sum(fq) AS sy, sum(fl * fq) AS sxy, sum(fl * fl) AS sxx, sum(fq * fq) AS syy",
-        "",
-        "SUM(fl) AS sx, SUM(fq) AS sy, SUM(fl * fq) AS sxy, SUM(fl * fl) AS sxx, SUM(fq * fq) AS syy",
-    ),
-    "vector_norm3_f64": Sample(
-        "INPUT (fl f64, fq f64, fs f64) WITH n2 = fl * fl + fq * fq + fs * fs SELECT sqrt(n2) AS norm, sum(n2) AS total, max(sqrt(n2)) AS high",
-        "SQRT(fl * fl + fq * fq + fs * fs) AS norm",
-        "SUM(fl * fl + fq * fq + fs * fs) AS total, MAX(SQRT(fl * fl + fq * fq + fs * fs)) AS high",
+        + ", COUNT(*) FILTER (WHERE shipped <= 19970630 AND status8 = 1) AS done_n, COUNT(*) FILTER (WHERE shipped <= 19970630 AND status8 = 2) AS open_n",
     ),
-    "stencil_residual_l2": Sample(
-        """INPUT (fq f64, fl f64, fs f64, fd f64, fp f64)
-        WITH miss = 4.0 * fq - fl - fs - fd - fl - fp SELECT miss AS miss, sum(miss * miss) AS l2, max(abs(miss)) AS worst""",
-        "4.0::DOUBLE * fq - fl - fs - fd - fl - fp AS miss",
-        "SUM((4.0::DOUBLE * fq - fl - fs - fd - fl - fp) * (4.0::DOUBLE * fq - fl - fs - fd - fl - fp)) AS l2, MAX(ABS(4.0::DOUBLE * fq - fl - fs - fd - fl - fp)) AS worst",
-    ),
-    "conjugate_gradient_step": Sample(
-        """INPUT (fl f64, fq f64, fs f64, fp f64, fh f64, fd f64)
-        WITH moved = fl + fh * fs, rest = fq - fh * fp, aim = rest + fd * fs
-        SELECT moved AS moved, rest AS rest, aim AS aim, sum(rest * rest) AS norm2, sum(fs * fp) AS dot""",
-        "fl + fh * fs AS moved, fq - fh * fp AS rest, fq - fh * fp + fd * fs AS aim",
-        "SUM((fq - fh * fp) * (fq - fh * fp)) AS norm2, SUM(fs * fp) AS dot",
-    ),
-    "particle_energy": Sample(
-        """INPUT (fq f64, fl f64, fs f64, fh f64, fd f64)
-        WITH v2 = fl * fl + fs * fs + fh * fh, energy = 0.5 * fq * v2 + fd SELECT energy AS energy, sum(energy) AS total, max(v2) AS fastest""",
-        "0.5::DOUBLE * fq * (fl * fl + fs * fs + fh * fh) + fd AS energy",
-        "SUM(0.5::DOUBLE * fq * (fl * fl + fs * fs + fh * fh) + fd) AS total, MAX(fl * fl + fs * fs + fh * fh) AS fastest",
-    ),
-    "finite_volume_flux": Sample(
-        """INPUT (fq f64, fl f64, fp f64, f15 f64)
-        WITH mass = fq * fl, energy = fp / (f15 - 1.0) + 0.5 * fq * fl * fl, flow = (energy + fp) * fl
-        SELECT mass AS mass, mass * fl + fp AS momentum, flow AS flow, sum(flow) AS total""",
-        "fq * fl AS mass, fq * fl * fl + fp AS momentum, (fp / (f15 - 1.0::DOUBLE) + 0.5::DOUBLE * fq * fl * fl + fp) * fl AS flow",
-        "SUM((fp / (f15 - 1.0::DOUBLE) + 0.5::DOUBLE * fq * fl * fl + fp) * fl) AS total",
-    ),
-    "discounted_charge_f64": Sample(
-        """INPUT (fq f64, fp f64, fd f64, ft f64) WITH cut = fp * (1.0 - fd)
-        SELECT sum(fq) AS sum_qty, sum(fp) AS sum_base, sum(cut) AS sum_cut, sum(cut * (1.0 + ft)) AS sum_charge""",
+    "dot_products": Sample("INPUT (fl f64, fs f64) SELECT sum(fl * fs) AS both, sum(fs * fs) AS own", "", "SUM(fl * fs) AS both, SUM(fs * fs) AS own"),
+    "line_fit_f32": Sample(
+        "INPUT (gl f32, gq f32) SELECT sum(gl) AS sx, sum(gq) AS sy, sum(gl * gq) AS sxy, sum(gl * gl) AS sxx",
         "",
-        "SUM(fq) AS sum_qty, SUM(fp) AS sum_base, SUM(fp * (1.0::DOUBLE - fd)) AS sum_cut, SUM(fp * (1.0::DOUBLE - fd) * (1.0::DOUBLE + ft)) AS sum_charge",
-    ),
-    "nullable_projection": Sample(
-        "INPUT (qn i32?, pn i32?) SELECT qn + pn AS both, coalesce(qn, pn, 0) AS filled, qn IS NULL AS no_q, pn IS NOT NULL AS has_p",
-        "qn + pn AS both, COALESCE(qn, pn, 0) AS filled, qn IS NULL AS no_q, pn IS NOT NULL AS has_p",
+        ", ".join(f"CAST(SUM(CAST({x} AS DOUBLE)) AS FLOAT) AS {n}" for n, x in (("sx", "gl"), ("sy", "gq"), ("sxy", "gl * gq"), ("sxx", "gl * gl"))),
     ),
-    "nullable_aggregate": Sample(
-        "INPUT (qn i32?) SELECT sum(qn) AS total, count_if(qn > 25) AS many",
+    "spread_f64": Sample(
+        "INPUT (fs f64, returned bool) SELECT sum(fs) FILTER (WHERE returned) AS s, sum(fs * fs) FILTER (WHERE returned) AS ss, min(fs) FILTER (WHERE returned) AS low, count_if(returned) AS n",
         "",
-        "CAST(SUM(qn) AS INT) AS total, COUNT(*) FILTER (WHERE qn > 25) AS many",
-    ),
-    "nullable_revenue": Sample(
-        """INPUT (qn i32?, pn i32?, dn i32?, late_n i32?)
-        WITH units = coalesce(qn, 0), asked = nullif(pn, 0), net = i64(units) * i64(asked) * (10000 - i64(coalesce(dn, 0))) / 10000,
-          valid = asked IS NOT NULL AND units > 0
-        SELECT net AS net, valid AS valid, sum(net) FILTER (WHERE valid) AS total, sum(net) FILTER (WHERE valid AND late_n > 30) AS late""",
-        f"CASE WHEN COALESCE(pn, 0) = 0 THEN NULL ELSE {NET} END AS net, {VALID} AS valid",
-        f"CAST(SUM({NET}) FILTER (WHERE {VALID}) AS BIGINT) AS total, CAST(SUM({NET}) FILTER (WHERE {VALID} AND late_n > 30) AS BIGINT) AS late",
-    ),
-    "nullable_split_valids": Sample(
-        SPLIT + "sum(net) FILTER (WHERE many) AS many_net, sum(net) FILTER (WHERE dear) AS dear_net, count_if(tardy) AS tardy_n",
+        "SUM(fs) FILTER (WHERE returned) AS s, SUM(fs * fs) FILTER (WHERE returned) AS ss, MIN(fs) FILTER (WHERE returned) AS low, COUNT(*) FILTER (WHERE returned) AS n",
+    ),
+    "cross_moments": Sample("INPUT (fs f64, fq f64) SELECT sum(fs) AS a, sum(fq) AS b, sum(fs * fq) AS ab, max(fs * fq) AS most", "", "SUM(fs) AS a, SUM(fq) AS b, SUM(fs * fq) AS ab, MAX(fs * fq) AS most"),
+    "box_diagonal": Sample(
+        "INPUT (fq f64, fl f64) WITH square = fq * fq + fl * fl SELECT sqrt(square) AS diagonal, max(sqrt(square)) AS longest, sum(square) AS total",
+        "SQRT(fq * fq + fl * fl) AS diagonal",
+        "MAX(SQRT(fq * fq + fl * fl)) AS longest, SUM(fq * fq + fl * fl) AS total",
+    ),
+    "second_difference": Sample(
+        "INPUT (fl f64, fq f64, fs f64) WITH bend = fl - 2.0 * fq + fs SELECT bend AS bend, sum(bend * bend) AS energy, max(abs(bend)) AS worst",
+        "fl - 2.0::DOUBLE * fq + fs AS bend",
+        "SUM((fl - 2.0::DOUBLE * fq + fs) * (fl - 2.0::DOUBLE * fq + fs)) AS energy, MAX(ABS(fl - 2.0::DOUBLE * fq + fs)) AS worst",
+    ),
+    "damped_step": Sample(
+        "INPUT (fq f64, fh f64, fl f64, fs f64) WITH speed = fq - fh * fl, place = fs + fh * speed SELECT speed AS speed, place AS place, sum(speed * place) AS work",
+        "fq - fh * fl AS speed, fs + fh * (fq - fh * fl) AS place",
+        "SUM((fq - fh * fl) * (fs + fh * (fq - fh * fl))) AS work",
+    ),
+    "horner_cubic": Sample(
+        "INPUT (fl f64) WITH y = ((fl * 0.5 + 2.0) * fl - 3.0) * fl + 1.0 SELECT y AS y, sum(y) AS total, min(y) AS low",
+        f"{(CUBIC := '((fl * 0.5::DOUBLE + 2.0::DOUBLE) * fl - 3.0::DOUBLE) * fl + 1.0::DOUBLE')} AS y",
+        f"SUM({CUBIC}) AS total, MIN({CUBIC}) AS low",
+    ),
+    "halved_flow": Sample(
+        "INPUT (fp f64, f15 f64, fl f64, fq f64) WITH half = fp / (f15 + 0.5), flow = half * fl - fq SELECT half AS half, -flow AS back, sum(flow) AS total",
+        "fp / (f15 + 0.5::DOUBLE) AS half, -(fp / (f15 + 0.5::DOUBLE) * fl - fq) AS back",
+        "SUM(fp / (f15 + 0.5::DOUBLE) * fl - fq) AS total",
+    ),
+    # Nulls.
+    "null_blend": Sample(
+        "INPUT (qn i32?, pn i32?, dn i32?) SELECT qn * 2 - pn AS blend, coalesce(dn, qn, -1) AS known, dn IS NULL AS unknown, pn IS NOT NULL AS priced",
+        "qn * 2 - pn AS blend, COALESCE(dn, qn, -1) AS known, dn IS NULL AS unknown, pn IS NOT NULL AS priced",
+    ),
+    "null_totals": Sample("INPUT (dn i32?) SELECT sum(dn) AS total, count_if(dn >= 400) AS steep", "", "CAST(SUM(dn) AS INT) AS total, COUNT(*) FILTER (WHERE dn >= 400) AS steep"),
+    "null_order_value": Sample(
+        ORDER + "value AS value, priced AS priced, sum(value) FILTER (WHERE priced) AS total, sum(value) FILTER (WHERE priced AND delay < 20) AS quick",
+        f"{VALUE} AS value, NULLIF(pn, 0) IS NOT NULL AS priced",
+        f"CAST(SUM({VALUE}) AS BIGINT) AS total, CAST(SUM({VALUE}) FILTER (WHERE delay < 20) AS BIGINT) AS quick",
+    ),
+    "null_shares": Sample(
+        ORDER + "sum(value) FILTER (WHERE priced AND units > 30) AS large, sum(value) FILTER (WHERE priced AND off < 300) AS little_off, count_if(priced AND delay >= 50) AS late",
         "",
-        f"CAST(SUM({NET}) FILTER (WHERE {VALID} AND qn >= 25) AS BIGINT) AS many_net, CAST(SUM({NET}) FILTER (WHERE {VALID} AND pn >= 5000) AS BIGINT) AS dear_net, "
-        f"COUNT(*) FILTER (WHERE {VALID} AND delay > 30) AS tardy_n",
-    ),
-    "nullable_select_projection": Sample(
-        SPLIT + "ifelse(many, net, i64(0)) AS many_net, ifelse(dear, net, i64(0)) AS dear_net, ifelse(tardy, i64(1), i64(0)) AS tardy_one",
-        f"CASE WHEN {VALID} AND qn >= 25 THEN {NET} ELSE 0 END AS many_net, CASE WHEN {VALID} AND pn >= 5000 THEN {NET} ELSE 0 END AS dear_net, "
-        f"CAST(CASE WHEN {VALID} AND delay > 30 THEN 1 ELSE 0 END AS BIGINT) AS tardy_one",
-    ),
-    "bitwise_mask_shift": Sample(
-        "INPUT (prt16 i16, qty16 i16, line16 i16) SELECT ((prt16 & 255) | (qty16 << 2)) # line16 AS mixed",
-        "CAST(xor((prt16 & 255) | (qty16 * 4), line16) AS SMALLINT) AS mixed",
-    ),
-    "popcnt_lzcnt": Sample(
-        "INPUT (qty i32, prt32 i32, ord32 i32) SELECT abs(-qty) + popcnt(prt32) + lzcnt(ord32) AS counted",
-        "CAST(ABS(-qty) + bit_count(prt32) + CASE WHEN ord32 = 0 THEN 32 ELSE 32 - length(bin(ord32)) END AS INT) AS counted",
-    ),
-    "hash_mix": Sample(
-        """INPUT (ord32 i32, disc i32, qty i32)
-        WITH a = ((i64(ord32) * 31) # (i64(disc) * 7)) # 4294967295, b = (i64(qty) * 13) & 4294967295 SELECT i32((a # b) & 255) AS byte""",
-        "CAST(xor(xor(xor(CAST(ord32 AS BIGINT) * 31, CAST(disc AS BIGINT) * 7), 4294967295), (CAST(qty AS BIGINT) * 13) & 4294967295) & 255 AS INT) AS byte",
-    ),
-    "nested_bitmask_pipeline": Sample(
-        "INPUT (ord32 i32, prt32 i32, price32 i32) WITH low = (ord32 # prt32) & 65535, high = (price32 & ~65535) >> 1 SELECT low | high AS mixed",
-        "CAST((xor(ord32, prt32) & 65535) | ((price32 & -65536) >> 1) AS INT) AS mixed",
-    ),
-    "common_bitmask_operations": Sample(
-        """INPUT (price32 i32) WITH high = price32 & 65280, low = price32 & 255
-        SELECT high << 8 AS up, srl(high, 8) AS down, high | low AS whole, low # 255 AS inverted, low + low AS doubled""",
-        "CAST((price32 & 65280) * 256 AS INT) AS up, CAST((price32 & 65280) >> 8 AS INT) AS down, CAST((price32 & 65280) | (price32 & 255) AS INT) AS whole, "
-        "CAST(xor(price32 & 255, 255) AS INT) AS inverted, CAST((price32 & 255) * 2 AS INT) AS doubled",
-    ),
-    "minmax_shift_mix": Sample(
-        "INPUT (qty16 i16, line16 i16) SELECT least(qty16 << 1, greatest(qty16 >> 1, line16)) AS between",
-        "CAST(LEAST(qty16 * 2, GREATEST(qty16 >> 1, line16)) AS SMALLINT) AS between",
-    ),
-    "shared_subexpression": Sample(
-        "INPUT (qty i32, line i32, prt32 i32) WITH a = qty * line SELECT a + prt32 AS plus, a - prt32 AS minus, a * 2 AS doubled",
-        "qty * line + prt32 AS plus, qty * line - prt32 AS minus, qty * line * 2 AS doubled",
-    ),
-    "large_shared_dag": Sample(
-        """INPUT (ord i64, prt i64, sup i64) WITH a = ord + prt, b = ord * sup, c = prt - sup
-        SELECT a * b AS times, a + c AS plus, b - c AS minus, a * 2 AS doubled""",
-        "(ord + prt) * (ord * sup) AS times, ord + prt + prt - sup AS plus, ord * sup - (prt - sup) AS minus, (ord + prt) * 2 AS doubled",
-    ),
-    "commutative_cse_probe": Sample(
-        """INPUT (qty i32, line i32) SELECT qty + line AS ab, line + qty AS ba, (qty + line) + 5 AS left5, qty + (line + 5) AS right5,
-        least(qty, line) AS low1, least(line, qty) AS low2, qty * 3 AS by3, 3 * qty AS by3_too""",
-        "qty + line AS ab, line + qty AS ba, qty + line + 5 AS left5, qty + line + 5 AS right5, LEAST(qty, line) AS low1, LEAST(line, qty) AS low2, qty * 3 AS by3, 3 * qty AS by3_too",
-    ),
-    "multi_level_dag": Sample(
-        """INPUT (qty i32, line i32, disc i32, tax i32) WITH a = qty + line, b = disc * tax, plus = a + b, minus = a - b
-        SELECT plus * 2 AS doubled, plus >> 1 AS halved, least(minus, 100) AS low, greatest(minus, 0) AS high, a # b AS mixed""",
-        "(qty + line + disc * tax) * 2 AS doubled, (qty + line + disc * tax) >> 1 AS halved, LEAST(qty + line - disc * tax, 100) AS low, "
-        "GREATEST(qty + line - disc * tax, 0) AS high, xor(qty + line, disc * tax) AS mixed",
+        f"CAST(SUM({VALUE}) FILTER (WHERE COALESCE(qn, 1) > 30) AS BIGINT) AS large, CAST(SUM({VALUE}) FILTER (WHERE COALESCE(dn, 250) < 300) AS BIGINT) AS little_off, "
+        "COUNT(*) FILTER (WHERE NULLIF(pn, 0) IS NOT NULL AND delay >= 50) AS late",
+    ),
+    "null_choices": Sample(
+        ORDER + "ifelse(priced AND units > 30, coalesce(value, i64(0)), i64(-1)) AS large, ifelse(priced AND delay >= 50, i64(off), i64(0)) AS late_off",
+        f"CASE WHEN NULLIF(pn, 0) IS NOT NULL AND COALESCE(qn, 1) > 30 THEN {VALUE} ELSE -1 END AS large, "
+        "CAST(CASE WHEN NULLIF(pn, 0) IS NOT NULL AND delay >= 50 THEN COALESCE(dn, 250) ELSE 0 END AS BIGINT) AS late_off",
+    ),
+    # Bits.
+    "nibble_weave": Sample("INPUT (prt16 i16, qty16 i16, line16 i16) SELECT ((prt16 & 15) << 4) | ((qty16 & 15) # line16) AS woven", "CAST(((prt16 & 15) * 16) | xor(qty16 & 15, line16) AS SMALLINT) AS woven"),
+    "bit_census": Sample(
+        "INPUT (qty i32, prt32 i32, ord32 i32) SELECT popcnt(ord32) * 2 + lzcnt(prt32) - popcnt(qty) AS census",
+        "CAST(bit_count(ord32) * 2 + CASE WHEN prt32 = 0 THEN 32 ELSE 32 - length(bin(prt32)) END - bit_count(qty) AS INT) AS census",
+    ),
+    "fold_slot": Sample(
+        "INPUT (ord32 i32, prt32 i32) WITH h = i64(ord32) * 40503 + i64(prt32), g = h # (h >> 7) SELECT i32(g & 1023) AS slot",
+        "CAST(xor(CAST(ord32 AS BIGINT) * 40503 + prt32, (CAST(ord32 AS BIGINT) * 40503 + prt32) >> 7) & 1023 AS INT) AS slot",
+    ),
+    "gray_code": Sample(
+        "INPUT (prt32 i32, line i32) WITH gray = prt32 # (prt32 >> 1) SELECT gray AS gray, gray & ~line AS cleared", "xor(prt32, prt32 >> 1) AS gray, xor(prt32, prt32 >> 1) & ~line AS cleared"
+    ),
+    "byte_lanes": Sample(
+        "INPUT (price32 i32) WITH lo = price32 & 255, mid = srl(price32, 8) & 255 SELECT (lo << 8) | mid AS swapped, lo # mid AS differs, lo & mid AS shared, lo + mid AS total",
+        "CAST(((price32 & 255) * 256) | ((price32 >> 8) & 255) AS INT) AS swapped, CAST(xor(price32 & 255, (price32 >> 8) & 255) AS INT) AS differs, "
+        "CAST((price32 & 255) & ((price32 >> 8) & 255) AS INT) AS shared, CAST((price32 & 255) + ((price32 >> 8) & 255) AS INT) AS total",
+    ),
+    # What several outputs share.
+    "reused_area": Sample(
+        "INPUT (qty i32, prt32 i32, line i32) WITH area = qty * prt32 SELECT area - line AS inner, area + line * 2 AS outer, area / 3 AS third",
+        "qty * prt32 - line AS inner, qty * prt32 + line * 2 AS outer, qty * prt32 // 3 AS third",
+    ),
+    "wide_dag": Sample(
+        "INPUT (ord i64, prt i64, sup i64) WITH p = ord - sup, q = prt * 2 + sup, r = p * q SELECT r AS r, r + p AS rp, q - r AS qr, r * 3 AS r3",
+        "(ord - sup) * (prt * 2 + sup) AS r, (ord - sup) * (prt * 2 + sup) + ord - sup AS rp, prt * 2 + sup - (ord - sup) * (prt * 2 + sup) AS qr, (ord - sup) * (prt * 2 + sup) * 3 AS r3",
+    ),
+    "operand_orders": Sample(
+        """INPUT (qty i32, line i32) SELECT line * qty AS m1, qty * line AS m2, (line - 2) + qty AS s1, line + (qty - 2) AS s2, greatest(line, qty) AS g1, greatest(qty, line) AS g2,
+        qty & line AS b1, line & qty AS b2""",
+        "line * qty AS m1, qty * line AS m2, line - 2 + qty AS s1, line + qty - 2 AS s2, GREATEST(line, qty) AS g1, GREATEST(qty, line) AS g2, qty & line AS b1, line & qty AS b2",
+    ),
+    "three_layers": Sample(
+        "INPUT (disc i32, tax i32) WITH s = disc + tax, t = disc - tax, u = s * t SELECT u AS u, u + s AS us, least(t, s) AS low, (s # t) & 255 AS mixed, greatest(u, -100) AS floor",
+        "(disc + tax) * (disc - tax) AS u, (disc + tax) * (disc - tax) + disc + tax AS us, LEAST(disc - tax, disc + tax) AS low, xor(disc + tax, disc - tax) & 255 AS mixed, "
+        "GREATEST((disc + tax) * (disc - tax), -100) AS floor",
     ),
 }
