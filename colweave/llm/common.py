@@ -61,25 +61,21 @@ def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
 
 
-#: Keys with more than HEAVY rows, and more than their share of the rows by HEAVY_KEYS, are spread: there are HEAVY_KEYS such keys at most.
+#: Keys with more than HEAVY rows are spread, the HEAVY_KEYS heaviest of them: any other has less than its share of the rows by HEAVY_KEYS.
 HEAVY, HEAVY_KEYS = 4096, 100_000
 
 
 def spread_join(rows: DataFrame, counts: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
-    """rows joined to counts on keys; counts is a written table with one row a key and in n how many rows the key has.
+    """rows joined to counts on keys; counts has one row a key and in n how many rows the key has.
 
     A key with many rows is cut into n / HEAVY parts, to which rows go by a hash of the salt columns and its row of
-    counts by copies. Only the heavy keys, whose number is bounded by HEAVY_KEYS, are broadcast. n is dropped.
+    counts by copies. Only the HEAVY_KEYS heaviest keys are broadcast. n is dropped.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.where(F.col("n") > max(HEAVY, total // HEAVY_KEYS))
-    if is_empty(heavy):
-        return rows.join(counts.drop("n"), keys)
     parts = F.ceil(F.col("n") / HEAVY).cast("int")
-    side = F.broadcast(heavy.select(*keys, parts.alias("_parts")))
-    rows = rows.join(side, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    dealt = F.when(F.col("n") > max(HEAVY, total // HEAVY_KEYS), parts).otherwise(1)
-    counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("n")
+    heavy = counts.where(F.col("n") > HEAVY).select(*keys, parts.alias("_parts")).orderBy(F.desc("_parts"), *keys).limit(HEAVY_KEYS)
+    rows = rows.join(F.broadcast(heavy), keys, "left")
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
     return rows.join(counts, [*keys, "_salt"]).drop("_salt")
 
 

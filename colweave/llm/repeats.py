@@ -300,9 +300,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(crowd: DataFrame) -> DataFrame:
     """Spans of the runs of crowded keys, each window a key of its own."""
-    every = stash(crowd.mapInArrow(_windows, "g long, k1 long, k2 long, s int, live boolean, h array<long>, at array<int>"))
+    every = crowd.mapInArrow(_windows, "g long, k1 long, k2 long, s int, live boolean, h array<long>, at array<int>")
     each = every.select("g", "k1", "k2", "s", "live", F.explode(F.arrays_zip("h", "at")).alias("w")).select("g", "k1", "k2", "s", "live", "w.h", "w.at")
-    counts = stash(each.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1"))
+    counts = each.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1")
     known = spread_join(each.where("live and at >= 0"), counts, ["g", "h"], ["k1", "k2", "s"])
     known = known.select("k1", "k2", (F.col("s") + F.col("at")).alias("s"), (F.col("s") + F.col("at") + LENGTH).alias("e"))
     own = crowd.select("k1", "k2", "text", F.filter("wanted", lambda w: w["live"] & w["again"]).alias("wanted")).where(F.size("wanted") > 0)
@@ -332,7 +332,9 @@ def _spans(documents: DataFrame) -> DataFrame:
         return left.select("k1", "k2", "text", F.filter("wanted", test).alias("wanted")).where(F.size("wanted") > 0)
 
     texts = those(lambda w: ~w["crowded"]).mapInArrow(_cut, "g long, k1 long, k2 long, s int, live boolean, t binary")
-    out = out.unionByName(texts.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, "k1 long, k2 long, s int, e int"))
+    # As many tasks as partitions: comparing costs time, which partitions merged by their bytes would not show.
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = out.unionByName(texts.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(_compare, "k1 long, k2 long, s int, e int"))
     if is_empty(groups.where("crowded")):
         return out
     return out.unionByName(_counted(those(lambda w: w["crowded"])))
