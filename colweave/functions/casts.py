@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,16 +157,20 @@ def float_cast(ctx, args, want, params):
 
 @operator("bitcast")
 def bitcast(ctx, args, want, params):
-    """The same bits as f32 and i32, or f64 and i64."""
+    """The same bits as f32 and i32, or f64 and i64: an Arrow view of the whole column, nulls kept. Spark has no expression for it."""
     v, to = ctx.value(args[0]), params["to"]
-    need(v is not None and not v.nullable, "bitcast takes no nullable input")
-    # The JVM's own bit conversions.
-    methods = {
-        (F32, I32): ("java.lang.Float", "floatToRawIntBits"),
-        (I32, F32): ("java.lang.Float", "intBitsToFloat"),
-        (F64, I64): ("java.lang.Double", "doubleToRawLongBits"),
-        (I64, F64): ("java.lang.Double", "longBitsToDouble"),
-    }
-    need((v.dtype, to) in methods, f"no bitcast from {v.dtype} to {to}")
-    holder, method = methods[v.dtype, to]
-    return v.but(F.call_function("reflect", F.lit(holder), F.lit(method), v.column).cast(to.carrier), to)
+    need(v is not None and (v.dtype, to) in VIEWS, f"no bitcast from {v.dtype if v else 'a literal'} to {to}")
+    return v.but(_viewed(to)(v.column), to)
+
+
+VIEWS = {(F32, I32), (I32, F32), (F64, I64), (I64, F64)}
+
+
+def _viewed(to: DType):
+    name = {"i32": "int32", "i64": "int64", "f32": "float32", "f64": "float64"}[to.name]
+
+    @F.arrow_udf(to.carrier)
+    def view(values: pa.Array) -> pa.Array:
+        return values.view(pa.type_for_alias(name))
+
+    return view

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,7 +28,17 @@ def with_row_number(df: DataFrame, order_by: list, name: str = "row") -> DataFra
     placed = _settle(df.orderBy(*order_by).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftrightunsigned("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    sizes = sizes.select(F.collect_list(F.struct("_part", "_n")).alias("_sizes")).select(F.explode(F.array_sort("_sizes")).alias("s"), "_sizes")
-    before = F.aggregate(F.filter("_sizes", lambda x: x["_part"] < F.col("s")["_part"]), F.lit(0).cast("bigint"), lambda t, x: t + x["_n"])
-    first = sizes.select(F.col("s._part").alias("_part"), before.alias("_first"))
+    # One row a partition: the running sum is a window over a small table, by its nature in one task.
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    first = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_first"))
     return placed.join(first, "_part").withColumn(name, F.col("_first") + F.col("_in")).drop("_at", "_part", "_in", "_first")
+
+
+def append_indices(selection: DataFrame, more: DataFrame, name: str = "at") -> DataFrame:
+    """(place, name): the entries of a selection vector, in their order, then those of more in row order.
+
+    selection and more have columns row and name, as packed outputs do; selection may be what this returns, with place for row.
+    """
+    old = selection.select(F.lit(0).alias("_side"), F.col("place" if "place" in selection.columns else "row").alias("_key"), F.col(name))
+    new = more.select(F.lit(1).alias("_side"), F.col("row").alias("_key"), F.col(name))
+    return with_row_number(old.unionByName(new), ["_side", "_key"], "place").select("place", name)

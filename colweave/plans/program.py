@@ -14,9 +14,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import time
-from ..functions.registry import AGGREGATES, OPERATORS, Value, fit, literal, predicate
+from ..functions.registry import AGGREGATES, OPERATORS, Value, bits_of, fit, literal, predicate
 from ..operators.aggregates import Agg
 from ..operators.ordering import with_row_number
 from ..operators.products import products
@@ -158,7 +159,8 @@ class Context:
         source = self.tables[e.params["table"]]
         where = self.value(e.args[0])
         if isinstance(source, Lookup):
-            return Value(source.dtype, F.get(F.array(*[literal(x, source.dtype).column for x in source.values]), where.column.cast("int")), source.nullable)
+            place = _place(where).cast("int")
+            return Value(source.dtype, F.get(F.array(*[literal(x, source.dtype).column for x in source.values]), place), source.nullable or where.nullable)
         name = self.joined[id(e)]
         kind = of_spark(self.fields[name].dataType)
         return Value(kind, ingest(F.col(name), kind), True)
@@ -177,9 +179,14 @@ class Context:
         return AGGREGATES[fn](self, e.args[:1], where)
 
 
+def _place(v: Value) -> Column:
+    """An index as a bigint: 8 and 16 bits count from 0, whatever their sign."""
+    return bits_of(v) if v.dtype.width < 32 else v.column.cast("bigint")
+
+
 @dataclass(frozen=True)
 class Lookup:
-    """A short table of literals to gather from; longer ones are DataFrames of idx and value."""
+    """A short table of literals to gather from; longer ones are DataFrames of idx and value (of a repeated idx, the least value)."""
 
     values: list
     dtype: DType
@@ -207,10 +214,20 @@ class Result:
     packed: dict[str, DataFrame] = field(default_factory=dict)
     scattered: dict[str, DataFrame] = field(default_factory=dict)
     flag: DataFrame | None = None
+    #: All grouped outputs of a table side by side, by the table's name.
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: The scalars and the flag of one scan, where both are plain aggregates.
+    joint: DataFrame | None = None
 
     def check(self) -> Result:
-        """Raise SafetyCheckFailed if a checked operation failed on any row."""
-        if self.flag is not None and self.flag.first()[0]:
+        """Raise SafetyCheckFailed if a checked operation failed on any row. Scalars are kept from the same scan."""
+        if self.joint is not None:
+            row = self.joint.first()
+            failed, kept = row[-1], self.joint.schema.fields[:-1]
+            self.scalars = self.joint.sparkSession.createDataFrame([tuple(row)[:-1]], StructType(kept))
+        else:
+            failed = self.flag is not None and self.flag.first()[0]
+        if failed:
             raise SafetyCheckFailed("a checked operation overflowed")
         return self
 
@@ -259,20 +276,24 @@ class Program:
             out.vectors = df.select(*[F.col(k) for k in keep or ()], *[self._vector(ctx, n, e) for n, e in rows.items()])
         sized = {e.params["size"] or f"{n}_size": Expr("agg", (e.args[1],), {"fn": "count_if"}) for n, e in self.of("pack").items()}
         totals = self.of("agg") | sized
+        aggs = {n: ctx.aggregate(e) for n, e in totals.items()}
         if totals:
-            out.scalars = self._scalars(df, {n: ctx.aggregate(e) for n, e in totals.items()}, list(totals))
+            out.scalars = self._scalars(df, aggs, list(totals))
         for name, e in self.of("pack").items():
             kept = df.where(F.coalesce(predicate(ctx, e.args[1]).column, F.lit(False)))
             columns = [F.col(ROW).alias("row")] if order_by is not None else []
             out.packed[name] = kept.select(*columns, self._vector(ctx, name, e.args[0]))
-        out.grouped = self._grouped(df, ctx, tables)
+        out.grouped, out.tables = self._grouped(df, ctx, tables)
         for name, e in self.of("scatter").items():
             out.scattered[name] = self._scattered(df, ctx, name, e, tables.get(name))
         if ctx.failures:
             bad = ctx.failures[0]
             for more in ctx.failures[1:]:
                 bad = bad | more
-            out.flag = df.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed"))
+            failed = F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed")
+            out.flag = df.agg(failed)
+            if totals and not any(a.wrapping for a in aggs.values()):
+                out.joint = df.agg(*[emit(a.value(), a.dtype).alias(n) for n, a in aggs.items()], failed)
         return out
 
     def run(self, df: DataFrame, **inputs: Any) -> Result:
@@ -305,11 +326,13 @@ class Program:
             frame = frame.crossJoin(F.broadcast(df.agg(*plain)))
         return frame.select(*[f"`{n}`" for n in order])
 
-    def _grouped(self, df: DataFrame, ctx: Context, tables: Mapping[str, Any]) -> dict[str, DataFrame]:
+    def _grouped(self, df: DataFrame, ctx: Context, tables: Mapping[str, Any]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """Each output's places and values, and all outputs of a table and index together, made by one groupBy."""
         by_index: dict[tuple[int, str], dict[str, Expr]] = {}
         for name, e in self.of("grouped").items():
             by_index.setdefault((id(e.args[1]), e.params["table"]), {})[name] = e
         out: dict[str, DataFrame] = {}
+        whole: dict[str, DataFrame] = {}
         for (_, table_name), members in by_index.items():
             place = ctx.value(next(iter(members.values())).args[1], BY_NAME["i64"])
             if not place.dtype.integer:
@@ -324,10 +347,10 @@ class Program:
                 times = products(keyed.select(key, *[a.column.alias(n) for n, a in wrapping.items()]), list(wrapping), "idx")
                 times = times.select("idx", *[fit(F.col(f"`{n}`"), a.dtype).alias(n) for n, a in wrapping.items()])
                 found = times if found is None else found.join(times, "idx")
-            target = tables.get(table_name)
-            for name, agg in aggs.items():
-                out[name] = _dense(found.select("idx", F.col(f"`{name}`").alias("_new")), target, agg, name)
-        return out
+            made = _dense(found, tables.get(table_name), aggs)
+            whole[table_name] = made if table_name not in whole else whole[table_name].join(made, "idx", "full")
+            out |= {name: made.select("idx", f"`{name}`") for name in aggs}
+        return out, whole
 
     @staticmethod
     def _scattered(df: DataFrame, ctx: Context, name: str, e: Expr, target: Target | None) -> DataFrame:
@@ -364,8 +387,9 @@ class Program:
                 ctx = Context(df, self.schema, tables, splats)
                 ctx.joined = joined
                 name, key = f"_g{len(joined)}", f"_i{len(joined)}"
-                side = source.select(F.col(source.columns[0]).cast("bigint").alias(key), F.col(source.columns[1]).alias(name))
-                df = df.join(side, ctx.value(e.args[0], BY_NAME["i64"]).column.cast("bigint") == F.col(key), "left").drop(key)
+                # Grouped by the key the join is on, so that a repeated key adds no rows and the grouping no shuffle of its own.
+                side = source.groupBy(F.col(source.columns[0]).cast("bigint").alias(key)).agg(F.min(F.col(source.columns[1])).alias(name))
+                df = df.join(side, _place(ctx.value(e.args[0], BY_NAME["i64"])) == F.col(key), "left").drop(key)
                 joined[id(e)] = name
 
         for e in self.outputs.values():
@@ -373,17 +397,24 @@ class Program:
         return df, joined
 
 
-def _dense(found: DataFrame, target: Any, agg: Agg, name: str) -> DataFrame:
+def _dense(found: DataFrame, target: Any, aggs: Mapping[str, Agg]) -> DataFrame:
     """Groups combined into the table's first contents; places without rows keep them. Without a table, the groups alone."""
     if target is None:
-        return found.select("idx", emit(F.col("_new"), agg.dtype).alias(name))
+        return found.select("idx", *[emit(F.col(f"`{n}`"), a.dtype).alias(n) for n, a in aggs.items()])
     if isinstance(target, DataFrame):
-        first = target.select(F.col(target.columns[0]).cast("bigint").alias("idx"), ingest(F.col(target.columns[1]), agg.dtype).alias("_old"))
+        first = target.select(F.col(target.columns[0]).cast("bigint").alias("idx"), F.col(target.columns[1]).alias("_old"))
     else:
-        first = found.sparkSession.range(target.size).select(F.col("id").alias("idx"), F.lit(target.initial).cast(agg.dtype.carrier if agg.dtype.width <= 64 else "decimal(38,0)").alias("_old"))
+        first = found.sparkSession.range(target.size).withColumnRenamed("id", "idx")
     both = first.join(found, "idx", "left")
-    out = F.when(F.col("_new").isNull(), F.col("_old")).otherwise(agg.combine(F.col("_old"), F.col("_new")))
-    return both.select("idx", emit(out, agg.dtype).alias(name))
+    out = []
+    for name, agg in aggs.items():
+        if isinstance(target, DataFrame):
+            old = ingest(F.col("_old"), agg.dtype)
+        else:
+            old = F.lit(target.initial).cast(agg.dtype.carrier if agg.dtype.width <= 64 else "decimal(38,0)")
+        new = F.col(f"`{name}`")
+        out.append(emit(F.when(new.isNull(), old).otherwise(agg.combine(old, new)), agg.dtype).alias(name))
+    return both.select("idx", *out)
 
 
 def query(outputs: Mapping[str, Expr] | list[Expr] | None = None, **named: Expr) -> Program:

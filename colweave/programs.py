@@ -70,6 +70,10 @@ SAMPLES: dict[str, Sample] = {
         "INPUT (qty i32, delay i32) WITH heavy = qty >= 40, slow = delay >= 45 SELECT ifelse(heavy, ifelse(slow, i8(3), i8(2)), i8(0)) AS class, heavy OR slow AS watched",
         "CAST(CASE WHEN qty >= 40 THEN CASE WHEN delay >= 45 THEN 3 ELSE 2 END ELSE 0 END AS TINYINT) AS class, (qty >= 40 OR delay >= 45) AS watched",
     ),
+    "symbol_words": Sample(
+        "INPUT (qty i32, delay i32, disc i32) SELECT qty > 10 && delay < 30 AS both, qty < 5 || disc > 500 AS either, (qty > 45 && delay > 50) || disc <= 0 AS mixed -- words as symbols",
+        "(qty > 10 AND delay < 30) AS both, (qty < 5 OR disc > 500) AS either, ((qty > 45 AND delay > 50) OR disc <= 0) AS mixed",
+    ),
     "width_ladder": Sample("INPUT (line8 i8, qty16 i16, prt32 i32, ord i64) SELECT i64(line8) + i64(qty16) * i64(prt32) - ord AS rung", "CAST(line8 AS BIGINT) + CAST(qty16 AS BIGINT) * prt32 - ord AS rung"),
     "lane_limits": Sample(
         "INPUT (line8 i8, qty16 i16, price32 i32, sup i64) SELECT line8 | 64 AS tagged, least(qty16 * 3, 90) AS capped, (price32 - 12) >> 3 AS eighth, greatest(sup, -sup) AS size",

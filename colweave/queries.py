@@ -543,3 +543,5 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["index_events"] = numbered
 ORACLE_SQL["index_events"] = "SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS row, event_id FROM events"
+
+from . import operator_queries  # noqa: E402,F401  registers the queries of the remaining operators

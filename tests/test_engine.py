@@ -15,7 +15,7 @@ from colweave.sources import columns as sources
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    return spark.createDataFrame([(1, 10, True), (None, 20, False), (3, None, True), (None, None, None)], "x int, y int, p boolean")
+    return spark.createDataFrame([(7, 40, True), (None, -5, False), (12, None, True), (None, None, None), (-2, 6, False)], "x int, y int, p boolean")
 
 
 def values(frame, e, **inputs):
@@ -24,11 +24,11 @@ def values(frame, e, **inputs):
 
 def test_projection_of_nulls(frame):
     x, y = col("x"), col("y")
-    assert values(frame, x + y) == [11, None, None, None]
-    assert values(frame, call("coalesce", x, y, 0)) == [1, 20, 3, 0]
-    assert values(frame, x.is_null()) == [False, True, False, True]
-    assert values(frame, y.is_not_null()) == [True, True, False, False]
-    assert values(frame, call("least", x, y)) == [1, None, None, None]
+    assert values(frame, x + y) == [47, None, None, None, 4]
+    assert values(frame, call("coalesce", x, y, 0)) == [7, -5, 12, 0, -2]
+    assert values(frame, x.is_null()) == [False, True, False, True, False]
+    assert values(frame, y.is_not_null()) == [True, True, False, False, True]
+    assert values(frame, call("least", x, y)) == [7, None, None, None, -2]
 
 
 def test_logic_is_strict(spark):
@@ -83,10 +83,10 @@ def test_float_aggregates_skip_nan(spark):
 
 
 def test_null_aggregates(spark):
-    frame = spark.createDataFrame([(1,), (None,), (3,), (None,)], "x int")
+    frame = spark.createDataFrame([(8,), (None,), (-3,), (None,), (21,)], "x int")
     x = col("x")
     got = cw.query(s=x.sum(), n=aggregate("count_if", x > 1), nn=x.count_notnull(), has=x.has_nulls(), al=aggregate("all", x > 0)).run(frame).scalars.first()
-    assert got.asDict() == {"s": 4, "n": 1, "nn": 2, "has": True, "al": False}
+    assert got.asDict() == {"s": 26, "n": 2, "nn": 3, "has": True, "al": False}
 
 
 def test_grouped(spark):
@@ -168,7 +168,7 @@ def test_dialect(frame):
     WITH z = coalesce(x, 0) + 2 * 3 SELECT z AS z, NOT p AS np, x IS NOT NULL AND z > 6 both, sum(x) FILTER (WHERE p), least(z, 8), 1 + z << 1 AS shifted, z | 1 # 3 AS mixed;""")
     got = p.run(frame)
     assert list(p.outputs) == ["z", "np", "both", "result_3", "result_4", "shifted", "mixed"]
-    assert [tuple(r) for r in got.vectors.collect()][0] == (7, False, True, 7, 15, (7 | 1) ^ 3) and got["result_3"] == 4
+    assert [tuple(r) for r in got.vectors.collect()][0] == (13, False, True, 8, 27, (13 | 1) ^ 3) and got["result_3"] == 19
     for text, error in (
         ("SELECT 1", cw.ParseError), ("INPUT (x i32) SELECT x +", cw.ParseError), ("INPUT (x i32) SELECT $", cw.ParseError), ("INPUT (x i32, x i32) SELECT x", cw.LowerError),
         ("INPUT (x text) SELECT x", cw.LowerError), ("INPUT (x i32) SELECT y", cw.LowerError), ("INPUT (x i32) SELECT x AS a, x AS a", cw.LowerError),
@@ -204,10 +204,16 @@ def test_sources(spark, tmp_path):
 def test_sessions(frame, spark):
     session = cw.Session(spark)
     ready = session.prepare("INPUT (x i32?, y i32?) SELECT x + y AS v, sum(x) AS s", frame)
-    assert ready.run()["s"] == 4 and ready.run(frame.where("x = 1"))["v"] == [11]
+    assert ready.run()["s"] == 17 and ready.run(frame.where("x = 7"))["v"] == [47]
     with pytest.raises(TypeError):
         ready.run(frame.select("x"))
     assert "HashAggregate" in session.inspect("INPUT (x i32?) SELECT sum(x) AS s", frame)
+    assert session.statistics() == {"parsed": 2, "reused": 0, "runs": 0, "prepared": 1, "prepared_runs": 2}
+    report = session.bug_report("INPUT (x i32?) SELECT sum(x) AS s", frame)
+    assert set(report) == {"spark", "python", "schema", "program", "plan", "statistics"} and session.statistics()["reused"] == 1
+    session.release(ready)
+    session.clear()
+    assert session.statistics()["prepared"] == 0 and not session.parsed
 
 
 def test_one_scan_per_shape(spark, tmp_path):
@@ -248,8 +254,8 @@ def test_json(frame):
 
 def test_functions_by_name(frame):
     x, y = col("x"), col("y")
-    got = cw.query(a=cw.popcnt(x), s=cw.sum_if(x, y > 5), n=cw.count_if(x > 0), g=cw.grouped_max(y, cw.coalesce(x, 0), "t"), h=cw.grouped_count_if(y > 0, cw.coalesce(x, 0), "t")).run(frame, tables={"t": cw.Target(4, 0)})
-    assert got["a"] == [1, None, 2, None] and got["s"] == 1 and got["n"] == 2 and got["g"] == [20, 10, 0, 0] and got["h"] == [1, 1, 0, 0]
+    got = cw.query(a=cw.popcnt(x), s=cw.sum_if(x, y > 5), n=cw.count_if(x > 0), g=cw.grouped_max(y, cw.coalesce(x, 0), "t"), h=cw.grouped_count_if(y > 0, cw.coalesce(x, 0), "t")).run(frame, tables={"t": cw.Target(9, 0)})
+    assert got["a"] == [3, None, 2, None, 31] and got["s"] == 5 and got["n"] == 2 and got["g"] == [0] * 7 + [40, 0] and got["h"] == [0] * 7 + [1, 0]
     with pytest.raises(AttributeError):
         cw.no_such_function
 
@@ -269,3 +275,36 @@ def test_bit_helpers(spark):
 def test_nested_aggregate_is_refused(frame):
     with pytest.raises(cw.TypeMismatch):
         cw.query(v=Expr("agg", (col("x"),), {"fn": "sum"}) + 1).plan(frame)
+
+
+def test_gather_by_narrow_and_repeated_keys(spark):
+    frame = spark.createDataFrame([(0, -1), (1, -128), (2, 3), (3, None)], "k int, i tinyint")
+    far = spark.createDataFrame([(255, 7), (128, 9), (3, 5), (3, 4)], "i int, v int")
+    got = cw.query(v=gather(col("i"), "t")).run(frame, tables={"t": far}, keep=["k"])
+    assert sorted(map(tuple, got.vectors.collect())) == [(0, 7), (1, 9), (2, 4), (3, None)]
+    short = cw.query(v=gather(col("i"), "t")).run(frame, tables={"t": cw.Lookup(list(range(1000, 1256)), cw.I64)}, keep=["k"])
+    assert sorted(map(tuple, short.vectors.collect())) == [(0, 1255), (1, 1128), (2, 1003), (3, None)]
+
+
+def test_flag_and_totals_share_a_scan(frame):
+    fits = cw.query(s=call("add_checked", col("x"), lit(1, cw.I32)).sum()).run(frame)
+    assert fits.scalars.first()["s"] == 20 and fits.joint is not None
+    with pytest.raises(cw.SafetyCheckFailed):
+        cw.query(s=call("add_checked", col("x"), lit(2**31 - 3, cw.I32)).sum()).run(frame)
+
+
+def test_groups_of_a_table_come_together(spark):
+    frame = sources.from_numpy(spark, {"v": np.arange(9, dtype=np.int32), "i": np.arange(9, dtype=np.int32) % 2})
+    v, i = col("v"), col("i")
+    got = cw.query(s=v.sum(group_idx=i, table="t"), hi=v.max(group_idx=i, table="t"), p=(v + 1).product(group_idx=i, table="t")).run(frame, tables={"t": cw.Target(3, 1)})
+    assert sorted(map(tuple, got.tables["t"].select("idx", "s", "hi", "p").collect())) == [(0, 21, 8, 945), (1, 17, 7, 384), (2, 1, 1, 1)]
+
+
+def test_append_indices(spark):
+    from colweave.operators.ordering import append_indices
+
+    old = spark.createDataFrame([(5, 50), (2, 20)], "row long, at long")
+    new = spark.createDataFrame([(9, 90), (1, 10)], "row long, at long")
+    both = append_indices(old, new)
+    assert sorted(map(tuple, both.collect())) == [(0, 20), (1, 50), (2, 10), (3, 90)]
+    assert sorted(map(tuple, append_indices(both, new).collect()))[4:] == [(4, 10), (5, 90)]
