@@ -37,8 +37,8 @@ SAMPLE_DOCUMENTS = 20_000
 SAMPLE_WINDOWS = 1500
 #: One in PLAIN of the sample's windows without a digit or an at sign is a candidate for the training set; POOL: see learn.
 PLAIN, POOL = 16, 8
-WINDOW, STRIDE, CROP = 128, 96, 64
-HIDDEN, STEPS, BATCH, LEARN = 16, 800, 64, 0.02
+WINDOW, STRIDE, CROP = 192, 160, 64
+HIDDEN, STEPS, BATCH, LEARN = 10, 800, 64, 0.02
 SURE = 0.9
 SYMBOLS = 129
 TAGS = 1 + 2 * len(KINDS)
@@ -206,21 +206,26 @@ class Tagger:
         inputs, weights = self.p[f"x{d}"] * half, self.p[f"h{d}"] * half
         n, length = codes.shape
         out = np.empty((length, n, h), np.float32)
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        z = np.empty((n, 4 * h), np.float32)
+        state, cell, squashed = (np.zeros((n, h), np.float32) for _ in range(3))
+        z, gates = (np.empty((n, 4 * h), np.float32) for _ in range(2))
+        places = np.ascontiguousarray(codes.T).astype(np.intp)
         for t in range(length) if d == 0 else range(length - 1, -1, -1):
-            np.matmul(state, weights, out=z)
-            z += inputs[codes[:, t]]
+            np.take(inputs, places[t], 0, out=z, mode="clip")
+            z += np.dot(state, weights, out=gates)
             np.tanh(z, out=z)
-            gates = 0.5 + 0.5 * z
+            np.multiply(z, 0.5, out=gates)
+            gates += 0.5
             cell *= gates[:, h : 2 * h]
             cell += gates[:, :h] * z[:, 2 * h : 3 * h]
-            state = gates[:, 3 * h :] * np.tanh(cell)
-            out[t] = state
+            np.tanh(cell, out=squashed)
+            state = np.multiply(gates[:, 3 * h :], squashed, out=out[t])
         return out
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._read(codes, 0), self._read(codes, 1)], 2) @ self.p["o"] + self.p["b"]
+        e = self._read(codes, 0) @ self.p["o"][:HIDDEN]
+        e += self._read(codes, 1) @ self.p["o"][HIDDEN:]
+        e += self.p["b"]
+        return e
 
     def plain(self, e: np.ndarray) -> np.ndarray:
         """Windows whose best path is plain text throughout, by the paths' scores alone."""
