@@ -201,13 +201,14 @@ class Tagger:
     def _read(self, codes: np.ndarray, d: int) -> np.ndarray:
         """As _run, for decoding: the gates' halves are in the weights, so one tanh serves all."""
         h = HIDDEN
-        half = np.full(4 * h, 0.5, np.float32)
+        kind = self.p["o"].dtype
+        half = np.full(4 * h, 0.5, kind)
         half[2 * h : 3 * h] = 1
         inputs, weights = self.p[f"x{d}"] * half, self.p[f"h{d}"] * half
         n, length = codes.shape
-        out = np.empty((length, n, h), np.float32)
-        state, cell, squashed = (np.zeros((n, h), np.float32) for _ in range(3))
-        z, gates = (np.empty((n, 4 * h), np.float32) for _ in range(2))
+        out = np.empty((length, n, h), kind)
+        state, cell, squashed = (np.zeros((n, h), kind) for _ in range(3))
+        z, gates = (np.empty((n, 4 * h), kind) for _ in range(2))
         places = np.ascontiguousarray(codes.T).astype(np.intp)
         for t in range(length) if d == 0 else range(length - 1, -1, -1):
             np.take(inputs, places[t], 0, out=z, mode="clip")
