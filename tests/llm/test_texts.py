@@ -362,11 +362,66 @@ def test_urls(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_templates(spark):
+def slow_templates(rows, backoff=False):
+    """host and shape -> rejected, by plain loops."""
+    f, levels, bound = urlfilter.FANOUT, urlfilter.LEVELS, urlfilter.BOUND
+    names = {(h, s): [] for h, s, *_ in rows}
+    segments = {k: k[1].split("/")[1:] for k in names}
+    for level in range(levels):
+        below = {}
+        for k in names:
+            if len(segments[k]) > level:
+                below.setdefault((k[0], tuple(names[k])), set()).add(segments[k][level])
+        for k in names:
+            if len(segments[k]) > level:
+                names[k] = names[k] + ["*" if len(below[k[0], tuple(names[k])]) > f else segments[k][level]]
+    below = {}
+    for k in names:
+        for level in range(levels, len(segments[k])):
+            below.setdefault((k[0], tuple(names[k]), tuple(segments[k][levels:level])), set()).add(segments[k][level])
+    names = {k: v + ["*" if len(below[k[0], tuple(v), tuple(segments[k][levels:j])]) > f else segments[k][j] for j in range(levels, len(segments[k]))] for k, v in names.items()}
+    count = {}
+    for h, s, good, bad in rows:
+        at = count.setdefault((h, len(segments[h, s]), tuple(names[h, s])), [0, 0])
+        at[0] += bad
+        at[1] += good + bad
+    families = {}
+    for (h, d, t), (bad, n) in count.items():
+        families.setdefault((h, d, t[:-1]), []).append((n == 0, bad / n if n else 0, "".join("/" + x for x in t), bad, n, t))
+    out = {}
+    for (h, d, _), members in families.items():
+        groups = []
+        for m in sorted(members):
+            if groups and m[4] and groups[-1][-1][4] and m[1] - groups[-1][-1][1] <= bound * (m[4] ** -0.5 + groups[-1][-1][4] ** -0.5):
+                groups[-1].append(m)
+            else:
+                groups.append([m])
+        for g in groups:
+            bad, n = sum(m[3] for m in g), sum(m[4] for m in g)
+            for wider in (members, [m for (h2, *_), ms in families.items() if h2 == h for m in ms]) if backoff else ():
+                if not n:
+                    bad, n = sum(m[3] for m in wider), sum(m[4] for m in wider)
+            for m in g:
+                out[h, d, m[5]] = n > 0 and (bad + 1) / (n + 2) > urlfilter.PURITY
+    return {k: out[k[0], len(segments[k]), tuple(names[k])] for k in names}
+
+
+def test_templates(spark, rng):
     """Wide levels become wildcards; a branch that is nearly all blocked is rejected, one that is not stays."""
     rows = [("h", f"/user/{chr(97 + k % 26)}{chr(97 + k // 26)}", 0, 9) for k in range(40)] + [("h", "/user/zz/deep/er/than/that", 0, 0), ("h", "/blog/one", 30, 0), ("h", "/other/two", 0, 0), ("", "", 0, 0)]
-    got = {r["shape"]: r["reject"] for r in urlfilter.templates(spark.createDataFrame(rows, "host string, shape string, good long, bad long")).collect()}
+    schema = "host string, shape string, good long, bad long"
+    got = {r["shape"]: r["reject"] for r in urlfilter.templates(spark.createDataFrame(rows, schema)).collect()}
     assert len(got) == len(rows) and got["/user/aa"] and not got["/blog/one"] and not got["/other/two"] and not got["/user/zz/deep/er/than/that"] and not got[""]
+    # Long paths, wide in their eighth segment and told apart by it elsewhere; siblings alike and not.
+    rows += [("h", f"/a/b/c/d/e/f/g/{chr(97 + k % 26)}{chr(97 + k // 26)}", 0, 1) for k in range(30)]
+    rows += [("h", "/a/b/c/d/e/f/x/bad", 0, 50), ("h", "/a/b/c/d/e/f/x/good", 50, 0), ("h", "/a/b/c/d/e/f/x/none", 0, 0)]
+    rows += [(rng.choice("ij"), "".join("/" + rng.choice("pqr") for _ in range(rng.randrange(1, 8))) + f"/{k}", rng.choice([0, 0, 1, 20]), rng.choice([0, 0, 2, 30])) for k in range(150)]
+    frame = spark.createDataFrame(rows, schema)
+    for backoff in (False, True):
+        want = slow_templates(rows, backoff)
+        assert {(r["host"], r["shape"]): r["reject"] for r in urlfilter.templates(frame, backoff).collect()} == want
+        assert want["h", "/a/b/c/d/e/f/g/aa"] and want["h", "/a/b/c/d/e/f/x/bad"] and not want["h", "/a/b/c/d/e/f/x/good"]
+        assert any(want.values()) and want["h", "/other/two"] == (backoff and want["h", "/other/two"])
 
 
 # Classifiers.
