@@ -90,6 +90,24 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text: str = "text", sou
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", finish.alias("virtual_finish")).orderBy("virtual_finish")
 
 
+def corpus(documents: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents that the mix takes words of, all their columns, with size, taken and virtual_finish, in the mix's order.
+
+    Of a text whose taken is below its size only so many words belong to the mix; above it, the text comes again. Rows
+    that share an id and a size are told apart by their text's hash, so repeated rows each keep a row of the mix. Null and blank texts are not
+    taken; an empty table gives no rows. Columns named size, taken or virtual_finish are replaced.
+    """
+    names = ["size", "taken", "virtual_finish"]
+    chosen = mix(documents, id_column, text, source).select(F.col("doc_id").alias("_m_id"), F.col("size").alias("_m_size"), *[F.col(n).alias(f"_m_{n}") for n in names[1:]])
+    turn = F.row_number().over(Window.partitionBy("_m_id", "_m_size").orderBy("_m_virtual_finish"))
+    chosen = chosen.withColumn("_m_turn", turn).where("_m_taken > 0")
+    docs = documents.drop(*names).withColumn("_d_size", word_count(F.col(text)))
+    # Rows that differ in nothing are alike to the mix, so any order of them will do.
+    docs = docs.withColumn("_d_turn", F.row_number().over(Window.partitionBy(id_column, "_d_size").orderBy(F.xxhash64(F.col(text)))))
+    out = docs.join(chosen, docs[id_column].eqNullSafe(F.col("_m_id")) & (F.col("_d_size") == F.col("_m_size")) & (F.col("_d_turn") == F.col("_m_turn")))
+    return out.select(*[docs[c] for c in docs.columns if c not in ("_d_size", "_d_turn")], *[F.col(f"_m_{n}").alias(n) for n in names]).orderBy("virtual_finish")
+
+
 #: DuckDB: the same mix from documents.
 ORACLE_SQL = r"""
 WITH d AS (

@@ -165,6 +165,10 @@ def classify(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    Null and empty texts are scored by all-zero statistics; rows without an id are scored but not learned from;
+    repeated rows are kept or dropped together; an empty table gives none.
+    """
     score = scorer(train(documents, labels, id_column, text), documents.sparkSession)
     return documents.where(score(F.col(text)) >= THRESHOLD)

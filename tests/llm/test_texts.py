@@ -462,6 +462,79 @@ def test_flat_trees():
     assert ((trees.score(x) > 0.5) == y).mean() > 0.95
 
 
+def test_quality_against_plain_trees(docs, spark, rng, monkeypatch):
+    """The whole query on 200 documents: plain loops over every statistic and cut find no better split at any node, leaves by formula, scores by a walk."""
+    import zlib
+
+    monkeypatch.setattr(quality, "TREES", 6)
+    monkeypatch.setattr(quality, "BINS", 8)
+    rows = [(k, prose(rng, words=rng.randrange(5, 90)) + rng.choice([" ###", " !!", "."]) * rng.randrange(9) if k % 3 else junk(rng)[: rng.randrange(20, 400)]) for k in range(200)]
+    labels = [(k, int(k % 3 != 0 or k % 7 == 0), 0) for k in range(200)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    trees = quality.train(docs(rows), table)
+    known = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    x, y = np.array([quality.statistics(rows[k][1]) for k in known]), np.array([float(labels[k][1]) for k in known])
+    cuts = [sorted({np.float32(q) for q in np.quantile(c, np.arange(1, quality.BINS) / quality.BINS)}) for c in x.T]
+    margin, splits = np.full(len(y), trees.prior), 0
+    assert abs(trees.prior - np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) < 1e-9
+    for t in range(quality.TREES):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+
+        def gain(low, high):
+            if h[low].sum() < 1 or h[high].sum() < 1:
+                return 0.0
+            part = lambda r: g[r].sum() ** 2 / (h[r].sum() + quality.L2)
+            return part(low) + part(high) - part(np.concatenate([low, high]))
+
+        nodes = {0: np.arange(len(y))}
+        for node in range(2**quality.DEPTH - 1):
+            here = nodes.get(node, np.zeros(0, int))
+            right = x[here, trees.feature[t, node]] > trees.threshold[t, node]
+            low, high = here[~right], here[right]
+            nodes[2 * node + 1], nodes[2 * node + 2] = low, high
+            best = max((gain(here[x[here, f] <= c], here[x[here, f] > c]) for f in range(x.shape[1]) for c in cuts[f]), default=0.0)
+            assert abs(gain(low, high) - (best if best > 1e-6 else 0.0)) < 1e-6
+            splits += bool(len(high))
+        for node in range(2**quality.DEPTH - 1, 2 ** (quality.DEPTH + 1) - 1):
+            here = nodes[node]
+            assert abs(trees.value[t, node] + quality.RATE * g[here].sum() / (h[here].sum() + quality.L2)) < 1e-9
+            margin[here] += trees.value[t, node]
+    assert splits > 20
+
+    def walked(row):
+        total = trees.prior
+        for t in range(quality.TREES):
+            node = 0
+            while node < 2**quality.DEPTH - 1:
+                node = 2 * node + 1 + bool(row[trees.feature[t, node]] > trees.threshold[t, node])
+            total += trees.value[t, node]
+        return 1 / (1 + np.exp(-total))
+
+    got = quality.classify(docs(rows), table).collect()
+    assert len(got) == 200 and all(abs(r["score"] - walked(quality.statistics(rows[r["doc_id"]][1]))) < 1e-9 for r in got)
+
+
+def test_language_against_plain_kernel_regression(docs, rng):
+    """The whole query on documents that are all landmarks: kernel ridge regression over sets of places, solved as it stands."""
+    import zlib
+
+    names = sorted(LANGUAGES)
+    rows = [(k, prose(rng, names[k % 3], words=rng.randrange(1, 40)) + " é ß"[: k % 4], names[k % 3]) for k in range(200)]
+    got = {r["doc_id"]: r for r in langid.identify(docs(rows, "doc_id long, text string, lang string")).collect()}
+    sets = [set(np.flatnonzero(langid.presence(t)).tolist()) for _, t, _ in rows]
+    known = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert len(known) <= langid.LANDMARKS
+    kernel = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5
+    gram = np.array([[kernel(a, b) for b in known] for a in known])
+    wanted = np.array([[1.0 if rows[k][2] == n else -1.0 for n in names] for k in known])
+    weights = np.linalg.solve(gram + langid.RIDGE * len(known) * np.eye(len(known)), wanted)
+    for k in range(200):
+        margins = np.array([kernel(k, b) for b in known]) @ weights
+        assert abs(got[k]["score"] - min(1, max(0, (margins.max() + 1) / 2))) < 1e-3
+        assert got[k]["lang_pred"] == names[int(margins.argmax())] or np.ptp(np.sort(margins)[-2:]) < 1e-3
+
+
 def test_language(docs, rng):
     names = sorted(LANGUAGES)
     rows = [(k, prose(rng, names[k % 3]), names[k % 3]) for k in range(300)]
@@ -484,6 +557,20 @@ def test_kernel():
     assert abs(float(x[0] @ x[1]) - len(grams[0] & grams[1]) / (len(grams[0]) * len(grams[1])) ** 0.5) < 0.02 and abs(float(x[0] @ x[0]) - 1) < 1e-6
 
 
+def test_corpus_of_repeated_rows(docs, rng):
+    """Repeated ids and rows, null ids and texts: the corpus has the rows that the mix takes, once each."""
+    rows = [(k % 30, prose(rng, words=rng.randrange(1, 20)), rng.choice(["a", "b", None])) for k in range(60)]
+    rows += [rows[0]] * 3 + [(None, "some words here", "a")] * 2 + [(70, None, "a"), (71, "", "b")]
+    frame = docs(rows, "doc_id long, text string, source string")
+    mixed = [(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(frame).collect() if r["taken"]]
+    got = mixing.corpus(frame)
+    assert got.columns == [*frame.columns, "size", "taken", "virtual_finish"]
+    got = got.collect()
+    assert sorted(map(str, mixed)) == sorted(str((r["doc_id"], r["size"], r["taken"])) for r in got)
+    assert all(len(r["text"].split()) == r["size"] for r in got)
+    assert mixing.corpus(docs([], "doc_id long, text string, source string")).count() == 0
+
+
 # The pipeline, stage by stage on its own input.
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark, tmp_path):
@@ -511,7 +598,8 @@ def test_pipeline(spark, tmp_path):
             assert all(any(edit_distance_within(b, t) <= decontaminate.ERROR_RATE * len(b) for b in bench) for t in dropped)
         if name == "pii":
             assert len(rows) == given.count() and not any(literal_private(r["text"]) for r in rows) and all(r["n_chars"] == len(r["text"]) for r in rows)
-    assert 0 < len(rows) < before and all(0 < r["taken"] <= 2 * r["size"] for r in rows)
+    assert 0 < len(rows) < before and all(0 < r["taken"] <= 2 * r["size"] == 2 * len(r["text"].split()) for r in rows)
+    assert docs.columns == [*columns, "size", "taken", "virtual_finish"]
     whole = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(str, whole)) == sorted(map(str, rows))
 
