@@ -1,7 +1,7 @@
 """A training corpus from raw documents: filter, deduplicate, decontaminate, redact, mix.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again for the next.
+as Parquet and read again for the next. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -14,22 +14,28 @@ from colweave.llm.common import stash, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored like any; repeated rows stay together or go together; rows without an id are scored, not learned from.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
+    """One document, that with the smallest id, of each group of near-duplicates.
+
+    Repeated rows are one; texts without words are alike; a group in which no row has an id keeps one row.
+    """
     return simhash.deduplicate(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts stay, repeated rows fare alike, an empty benchmark drops nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars counts the new text."""
+    """All documents, personal data replaced by its kind; n_chars counts the new text. Null texts stay null, n_chars with them."""
     columns = docs.columns
     docs = pii.redact(docs)
     if "n_chars" in columns:
@@ -38,8 +44,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the mix, in its order, with the words it takes of each."""
-    return mixing.mix(docs).where("taken > 0")
+    """The documents in the mix, texts included, in its order, with the words it takes of each. Texts without words are left out."""
+    return mixing.corpus(docs)
 
 
 STAGES = [
