@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, map_rows, settle, stash
+from .common import is_empty, map_rows, settle, spread_join, stash
 from .components import Labels, components
 
 WORDS = 3
@@ -187,12 +187,12 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     table gives no rows; other columns are not read.
     """
     made = settle(fingerprints(documents, id_column, text))
-    distinct = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     root = components(links(distinct.select("fp"), radius))
     joined = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left")
     least = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
-    named = joined.join(least, "root", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
-    return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = joined.join(least, "root", "left").select("fp", "n", F.coalesce("whole", "least").alias("component_id"))
+    return spread_join(made, named, ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 class FlatTree:
@@ -418,13 +418,13 @@ def similar_groups(documents: DataFrame, id_column: str = "doc_id", text: str =
 
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
     rows = stash(map_rows(texts, made, "doc_id long, digest long, cls long, fp long, size int, sketch binary, keys array<long>"))
-    least = rows.groupBy("cls").agg(F.min("doc_id").alias("least"))
+    least = rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     firsts = rows.groupBy("cls").agg(F.max("fp").alias("fp"), F.max("size").alias("size"), F.max("sketch").alias("sketch"), F.max("keys").alias("keys"), F.min(F.struct("doc_id", "digest")).alias("one"))
     root = components(similar(settle(firsts), texts))
     joined = least.join(root.withColumnRenamed("node", "cls"), "cls", "left")
     whole = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
-    named = joined.join(whole, "root", "left").select("cls", F.coalesce("whole", "least").alias("component_id"), F.coalesce("root", "cls").alias("root"))
-    return rows.select("doc_id", "digest", "cls").join(named, "cls").select("doc_id", "digest", "component_id", "root")
+    named = joined.join(whole, "root", "left").select("cls", "n", F.coalesce("whole", "least").alias("component_id"), F.coalesce("root", "cls").alias("root"))
+    return spread_join(rows.select("doc_id", "digest", "cls"), named, ["cls"], ["doc_id", "digest"]).select("doc_id", "digest", "component_id", "root")
 
 
 def deduplicate(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
