@@ -37,7 +37,9 @@ SAMPLE_DOCUMENTS = 20_000
 SAMPLE_WINDOWS = 1500
 #: One in PLAIN of the sample's windows without a digit or an at sign is a candidate for the training set; POOL: see learn.
 PLAIN, POOL = 16, 8
-WINDOW, STRIDE, CROP = 192, 160, 64
+WINDOW, STRIDE, CROP = 256, 224, 64
+#: Windows that are decoded at once, and characters of the texts that make them up.
+CHUNK, TOGETHER = 1024, 200_000
 HIDDEN, STEPS, BATCH, LEARN = 10, 800, 64, 0.02
 SURE = 0.9
 SYMBOLS = 129
@@ -198,50 +200,51 @@ class Tagger:
             out[t] = state
         return out
 
-    def _read(self, codes: np.ndarray, d: int) -> np.ndarray:
-        """As _run, for decoding: the gates' halves are in the weights, so one tanh serves all."""
-        h = HIDDEN
-        kind = self.p["o"].dtype
+    def emissions(self, codes: np.ndarray) -> np.ndarray:
+        """Scores of the tags by character and window. As two runs of _run, but both directions step together.
+
+        Half of the sigmoids' arguments is in the weights, so that one tanh serves all gates.
+        """
+        h, (n, length), kind = HIDDEN, codes.shape, self.p["o"].dtype
         half = np.full(4 * h, 0.5, kind)
         half[2 * h : 3 * h] = 1
-        inputs, weights = self.p[f"x{d}"] * half, self.p[f"h{d}"] * half
-        n, length = codes.shape
-        out = np.empty((length, n, h), kind)
-        state, cell, squashed = (np.zeros((n, h), kind) for _ in range(3))
-        z, gates = (np.empty((n, 4 * h), kind) for _ in range(2))
+        inputs = [np.ascontiguousarray(self.p[f"x{d}"] * half) for d in (0, 1)]
+        weights = np.stack([self.p[f"h{d}"] * half for d in (0, 1)])
         places = np.ascontiguousarray(codes.T).astype(np.intp)
-        for t in range(length) if d == 0 else range(length - 1, -1, -1):
-            np.take(inputs, places[t], 0, out=z, mode="clip")
-            z += np.dot(state, weights, out=gates)
+        out = np.empty((2, length, n, h), kind)
+        state, cell, squashed = (np.zeros((2, n, h), kind) for _ in range(3))
+        z, gates = (np.empty((2, n, 4 * h), kind) for _ in range(2))
+        for t in range(length):
+            np.take(inputs[0], places[t], 0, out=z[0], mode="clip")
+            np.take(inputs[1], places[length - 1 - t], 0, out=z[1], mode="clip")
+            z += np.matmul(state, weights, out=gates)
             np.tanh(z, out=z)
             np.multiply(z, 0.5, out=gates)
             gates += 0.5
-            cell *= gates[:, h : 2 * h]
-            cell += gates[:, :h] * z[:, 2 * h : 3 * h]
+            cell *= gates[:, :, h : 2 * h]
+            cell += gates[:, :, :h] * z[:, :, 2 * h : 3 * h]
             np.tanh(cell, out=squashed)
-            state = np.multiply(gates[:, 3 * h :], squashed, out=out[t])
-        return out
-
-    def emissions(self, codes: np.ndarray) -> np.ndarray:
-        e = self._read(codes, 0) @ self.p["o"][:HIDDEN]
-        e += self._read(codes, 1) @ self.p["o"][HIDDEN:]
+            np.multiply(gates[:, :, 3 * h :], squashed, out=state)
+            out[0, t], out[1, length - 1 - t] = state[0], state[1]
+        e = out[0] @ self.p["o"][:h]
+        e += out[1] @ self.p["o"][h:]
         e += self.p["b"]
         return e
 
     def plain(self, e: np.ndarray) -> np.ndarray:
-        """Windows whose best path is plain text throughout, by the paths' scores alone."""
-        move = (self.p["t"] + ALLOWED)[:, :, None]
-        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        """Windows whose best path is plain text throughout, by the paths' scores alone; they are taken above that path's, which is 0."""
+        move = (self.p["t"] + ALLOWED - self.p["t"][0, 0])[:, :, None]
+        e = np.ascontiguousarray((e - e[:, :, :1]).transpose(0, 2, 1))
         score = e[0]
         for t in range(1, len(e)):
             score = (score[:, None, :] + move).max(0) + e[t]
-        return score.max(0) <= e[:, 0].sum(0) + (len(e) - 1) * self.p["t"][0, 0] + 1e-3
+        return score.max(0) <= 0
 
     def spans(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each window its best tags and, by character, the probability that the tag is not plain text's."""
         tags, sure = np.zeros(codes.shape, np.uint8), np.zeros(codes.shape, np.float32)
-        for k in range(0, len(codes), 512):
-            e = self.emissions(codes[k : k + 512])
+        for k in range(0, len(codes), CHUNK):
+            e = self.emissions(codes[k : k + CHUNK])
             rows = np.flatnonzero(~self.plain(e))
             if len(rows):
                 part = np.ascontiguousarray(e[:, rows])
@@ -369,12 +372,18 @@ class Finder:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
         """(fixed, added) spans for each text."""
-        for k in range(0, len(texts), 64):
-            part = texts[k : k + 64]
+        part: list[str] = []
+        size = 0
+        for k, t in enumerate(texts):
+            part.append(t)
+            size += len(t)
+            if size < TOGETHER and k + 1 < len(texts):
+                continue
             more = self.learned(part) if self.tagger else ([] for _ in part)
             for t, found in zip(part, more, strict=True):
                 base = base_spans(t)
                 yield base, outside(found, base)
+            part, size = [], 0
 
 
 def examples(text: str) -> Iterator[tuple[int, bytes, bytes]]:
