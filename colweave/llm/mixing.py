@@ -5,13 +5,16 @@ gone through twice. A document's virtual finish time is the source's words up to
 its end divided by the source's target, so at any virtual time all sources have
 been served in proportion to their targets; sorting by it is the global order of
 the mix, and the total budget is spent at virtual time 1, where the document in
-service is cut. Cumulative words are summed in two levels, within buckets of
-the shuffled order and over the buckets' sums, so a source of any size is spread
-over 4096 windows (three hex digits).
+service of each source is cut. Cumulative words are summed in two levels, within buckets of
+the shuffled order and over the buckets' sums. Buckets are the leading hex digits of the md5,
+as many as keep a bucket near BUCKET_ROWS, three at least; rows without an id, which share one md5, are
+parted by size, the next key of the order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 REPEATS = 2
+BUCKET_ROWS = 1_000_000
+#: md5 of the empty string, for rows without an id.
+NO_ID = "d41d8cd98f00b204e9800998ecf8427e"
 
 
 def word_count(text: Column) -> Column:
@@ -65,7 +71,11 @@ def mix(documents: DataFrame, id_column: str = "doc_id", text: str = "text", sou
     docs = documents.select(
         F.col(id_column).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key")
     )
-    docs = settle(docs.withColumn("bucket", F.substring("key", 1, 3)))
+    docs = settle(docs)
+    digits = max(3, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
+    first = F.substring("key", 1, digits)
+    parted = F.when(F.col("key") < NO_ID, first).when(F.col("key") > NO_ID, F.concat(first, F.lit("~"))).otherwise(F.concat(first, F.lit("-"), F.lpad(F.col("size").cast("string"), 20, "0")))
+    docs = docs.withColumn("bucket", F.when(first == NO_ID[:digits], parted).otherwise(first))
     buckets = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
