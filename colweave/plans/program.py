@@ -300,11 +300,19 @@ class Program:
         """plan(), after checking that no checked operation fails."""
         return self.plan(df, **inputs).check()
 
-    def inspect(self, df: DataFrame, **inputs: Any) -> str:
-        """Spark's physical plans of the outputs."""
-        result = self.plan(df, **inputs)
-        frames = [result.vectors, result.scalars, *result.grouped.values(), *result.packed.values(), *result.scattered.values()]
-        return "\n".join(f._jdf.queryExecution().explainString(f._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) for f in frames if f is not None)
+    def inspect(self, df: DataFrame, mode: str = "formatted", **inputs: Any) -> str:
+        """Spark's plans of the outputs; mode is one of explain's: simple, extended, codegen, cost, formatted."""
+        return "\n".join(_explained(f, mode) for f in self._frames(self.plan(df, **inputs)).values())
+
+    def snapshot(self, df: DataFrame, **inputs: Any) -> dict[str, dict[str, str]]:
+        """For debugging, by shape of output: its schema, its logical and physical plans and the code Spark generates for it."""
+        frames = self._frames(self.plan(df, **inputs))
+        return {n: {"schema": f.schema.simpleString(), "plans": _explained(f, "extended"), "code": _explained(f, "codegen")} for n, f in frames.items()}
+
+    @staticmethod
+    def _frames(result: Result) -> dict[str, DataFrame]:
+        named = {"vectors": result.vectors, "scalars": result.scalars, **result.grouped, **result.packed, **result.scattered}
+        return {n: f for n, f in named.items() if f is not None}
 
     @staticmethod
     def _vector(ctx: Context, name: str, e: Expr) -> Column:
@@ -417,6 +425,10 @@ def _dense(found: DataFrame, target: Any, aggs: Mapping[str, Agg]) -> DataFrame:
     return both.select("idx", *out)
 
 
+def _explained(df: DataFrame, mode: str) -> str:
+    return df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+
+
 def query(outputs: Mapping[str, Expr] | list[Expr] | None = None, **named: Expr) -> Program:
     """A program of named outputs; a list gives result_0, result_1, ..."""
     if isinstance(outputs, list):

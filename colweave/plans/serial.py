@@ -54,3 +54,8 @@ def from_json(text: str) -> Program:
         schema = Table({})
         schema.columns = {n: (_back(t, nodes), nullable) for n, (t, nullable) in data["columns"].items()}
     return Program({n: nodes[k] for n, k in data["outputs"].items()}, schema)
+
+
+def inspect_json(text: str, df, mode: str = "formatted", **inputs: Any) -> str:
+    """inspect of a program that is there as JSON."""
+    return from_json(text).inspect(df, mode, **inputs)

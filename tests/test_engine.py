@@ -308,3 +308,14 @@ def test_append_indices(spark):
     both = append_indices(old, new)
     assert sorted(map(tuple, both.collect())) == [(0, 20), (1, 50), (2, 10), (3, 90)]
     assert sorted(map(tuple, append_indices(both, new).collect()))[4:] == [(4, 10), (5, 90)]
+
+
+def test_inspection_of_json_and_snapshot(frame):
+    from colweave.plans.serial import inspect_json, to_json
+
+    program = cw.query(v=col("x") + 1, s=col("y").sum())
+    strip = lambda text: "".join(c for c in text if not c.isdigit())
+    assert strip(inspect_json(to_json(program), frame)) == strip(program.inspect(frame))
+    shot = program.snapshot(frame)
+    assert set(shot) == {"vectors", "scalars"} and shot["scalars"]["schema"] == "struct<s:int>"
+    assert "Optimized Logical Plan" in shot["vectors"]["plans"] and "WholeStageCodegen" in shot["scalars"]["code"]
