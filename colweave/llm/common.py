@@ -54,9 +54,23 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     df.coalesce(files).write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that stash has written in this process.
+_written: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that operators have written so far, once their results are stored; how many they were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.take(1)) == 0
 
@@ -65,14 +79,14 @@ def is_empty(df: DataFrame) -> bool:
 HEAVY, HEAVY_KEYS = 4096, 100_000
 
 
-def spread_join(rows: DataFrame, counts: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
+def spread_join(rows: DataFrame, counts: DataFrame, keys: list[str], salt: list[str], most: int = HEAVY_KEYS) -> DataFrame:
     """rows joined to counts on keys; counts has one row a key and in n how many rows the key has.
 
     A key with many rows is cut into n / HEAVY parts, to which rows go by a hash of the salt columns and its row of
-    counts by copies. Only the HEAVY_KEYS heaviest keys are broadcast. n is dropped.
+    counts by copies. Only the heaviest keys, most of them at most, are broadcast. n is dropped.
     """
     parts = F.ceil(F.col("n") / HEAVY).cast("int")
-    heavy = counts.where(F.col("n") > HEAVY).select(*keys, parts.alias("_parts")).orderBy(F.desc("_parts"), *keys).limit(HEAVY_KEYS)
+    heavy = counts.where(F.col("n") > HEAVY).select(*keys, parts.alias("_parts")).orderBy(F.desc("_parts"), *keys).limit(most)
     rows = rows.join(F.broadcast(heavy), keys, "left")
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")

@@ -29,6 +29,8 @@ from .components import Labels, components
 COSINE = 0.98
 BLOCK = 16
 SHARD = 4096
+#: So many of the vectors with the most copies are broadcast, to part their rows.
+HEAVY_VECTORS = 1000
 
 
 @functools.cache
@@ -233,7 +235,7 @@ def near_duplicates(
         whole = known.where("root is not null").groupBy("root").agg(F.min("least").alias("whole"))
         known = known.join(whole, "root", "left").withColumn("component_id", F.coalesce("whole", "least"))
     known = known.select("label", "embedding", "n", "n_links", "component_id")
-    linked_rows = spread_join(rows.where("valid"), known, ["label", "embedding"], ["vec_id"])
+    linked_rows = spread_join(rows.where("valid"), known, ["label", "embedding"], ["vec_id"], HEAVY_VECTORS)
     out = linked_rows.select("vec_id", "n_links", "component_id").unionByName(
         rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     )

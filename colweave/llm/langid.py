@@ -24,8 +24,6 @@ DIMENSIONS = 1 << 13
 LANDMARKS = 256
 SAMPLE_ROWS = 4000
 RIDGE = 1e-3
-#: Up to so many languages their counts, a row each, are broadcast.
-FEW_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -74,13 +72,16 @@ class Kernel:
 
 
 def train(documents: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang") -> Kernel:
-    """Learn from at most SAMPLE_ROWS documents, an equal bound for each language, none held out; null ids, texts and languages are left out."""
+    """Learn from at most SAMPLE_ROWS documents, an equal bound for each language, none held out; null ids, texts and languages are left out.
+
+    Of more than SAMPLE_ROWS languages the most frequent are learned.
+    """
     ids = documents.select(F.col(id_column).alias("_id"), F.col(language).alias("_lang")).where("_id is not null and _lang is not null")
     ids = ids.where(~held_out(F.col("_id"), 4, 2))
-    sizes = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
+    sizes = ids.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(SAMPLE_ROWS)
     kinds = max(1, sizes.count())
     # Far above the expected cut of its language an id is left out before the ranking, so that no language gathers in a task.
-    side = F.broadcast(sizes) if kinds <= FEW_LANGUAGES else sizes
+    side = F.broadcast(sizes)
     ids = ids.join(side, "_lang").where(share_of(F.col("_id")) < (2 * SAMPLE_ROWS / kinds + 50) / F.col("_n")).drop("_n")
     order = Window.partitionBy("_lang").orderBy(F.md5(F.col("_id").cast("string")), "_id")
     ids = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(1, SAMPLE_ROWS // kinds)).drop("_r")
@@ -97,14 +98,14 @@ def train(documents: DataFrame, id_column: str = "doc_id", text: str = "text", l
     return Kernel([r[1] for r in got], bits)
 
 
-def identify(documents: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
+def identify(documents: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang", model: Kernel | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1) for every row, from its whole text.
 
     Texts that are null or have no letter get und with score 0, and so does every
     text where nothing could be learned. Repeated rows score alike; ties go to the
-    first language in order; an empty table gives no rows.
+    first language in order; an empty table gives no rows. model is what train has returned, to share.
     """
-    model = Shared(documents.sparkSession, train(documents, id_column, text, language))
+    model = Shared(documents.sparkSession, model or train(documents, id_column, text, language))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -424,15 +424,16 @@ def learn(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -
     return Finder(Tagger(w, y, windows(got[0])[0]) if y.any() else None)
 
 
-def find(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def find(documents: DataFrame, id_column: str = "doc_id", text: str = "text", model: Finder | None = None) -> DataFrame:
     """One row per input row: doc_id and spans, structs of kind, start, end and base.
 
     Positions are code points, ends exclusive; spans are ordered by start, then kind;
     base marks those of the fixed formats. Null texts count as empty; repeated rows
     and null ids each give their row; where the sample has no fixed span nothing is
     learned and none is added; an empty table gives no rows. Other columns are not read.
+    model is what learn has returned, for several tables or runs to share.
     """
-    finder = Shared(documents.sparkSession, learn(documents, id_column, text))
+    finder = Shared(documents.sparkSession, model or learn(documents, id_column, text))
 
     def found(ids, texts):
         for i, (base, more) in zip(ids, finder.value([t or "" for t in texts]), strict=True):
@@ -456,12 +457,12 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(documents: DataFrame, id_column: str = "doc_id", text: str = "text", model: Finder | None = None) -> DataFrame:
     """The documents with personal data in the text replaced by <EMAIL>, <IP>, <CARD>, <PHONE>.
 
     Null texts stay null, empty ones empty; repeated rows change alike; an empty table gives none.
     """
-    finder = Shared(documents.sparkSession, learn(documents, id_column, text))
+    finder = Shared(documents.sparkSession, model or learn(documents, id_column, text))
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -153,22 +153,23 @@ def scorer(model: Trees, spark):
     return score
 
 
-def classify(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", model: Trees | None = None) -> DataFrame:
     """doc_id, held_out, score (0 to 1; higher: label 1 likelier), predicted (score >= THRESHOLD).
 
     Every row gets a score, null and empty texts that of all-zero statistics; rows
     with a null id are not held out; repeated rows score alike; an empty table gives no rows.
+    model is what train has returned, to share.
     """
-    score = scorer(train(documents, labels, id_column, text), documents.sparkSession)
+    score = scorer(model or train(documents, labels, id_column, text), documents.sparkSession)
     out = documents.select(F.col(id_column).alias("doc_id"), score(F.col(text)).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_good(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", model: Trees | None = None) -> DataFrame:
     """Documents that the classifier does not reject.
 
     Null and empty texts are scored by all-zero statistics; rows without an id are scored but not learned from;
     repeated rows are kept or dropped together; an empty table gives none.
     """
-    score = scorer(train(documents, labels, id_column, text), documents.sparkSession)
+    score = scorer(model or train(documents, labels, id_column, text), documents.sparkSession)
     return documents.where(score(F.col(text)) >= THRESHOLD)

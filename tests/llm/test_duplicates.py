@@ -300,6 +300,16 @@ def test_repeats_in_a_long_text(docs, rng):
     assert held_repeats(docs, [(0, long + passage + long[:5000]), (1, passage), (2, prose(rng, words=50))]) > 5000
 
 
+def test_discard(spark):
+    from pathlib import Path
+
+    common.discard(spark)
+    kept = common.stash(spark.range(5))
+    path = Path(common._written[-1].removeprefix("file:"))
+    assert kept.count() == 5 and path.is_dir()
+    assert common.discard(spark) == 1 and not path.exists() and common.discard(spark) == 0
+
+
 def test_spread_join(spark, monkeypatch):
     monkeypatch.setattr(common, "HEAVY", 10)
     rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(400)], "a int, b int")

@@ -109,6 +109,20 @@ def test_secrets_beyond_the_formats(docs, rng):
     assert sum(len(got[k]) for k, _ in rows) - sum(planted[k] in got[k] for k in planted) <= 3
 
 
+def test_models_are_shared(docs, spark, rng):
+    """A model that is given is used as it is, on another table too."""
+    rows = [(k, f"{prose(rng)} token = \"{secret(rng)}\" u{k}@mail.example.com", ("en", "de")[k % 2]) for k in range(60)]
+    frame = docs(rows, "doc_id long, text string, lang string")
+    few = frame.where("doc_id < 5")
+    grammar, finder, kernel = secretscan.infer(frame), pii.learn(frame), langid.train(frame)
+    assert secretscan.scan(few, model=grammar).collect() == secretscan.scan(frame).where("doc_id < 5").collect()
+    assert pii.find(few, model=finder).collect() == pii.find(frame).where("doc_id < 5").collect()
+    assert langid.identify(few, model=kernel).collect() == langid.identify(frame).where("doc_id < 5").collect()
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    trees = quality.train(frame, labels)
+    assert quality.classify(few, labels, model=trees).collect() == quality.classify(frame, labels).where("doc_id < 5").collect()
+
+
 def test_span_digest(spark, tmp_path):
     """Counts, hash and list of op2 and op3, against the literal patterns; what is added only shows in the list."""
     texts = ['see token="abcdef0123456789" and 1.2.3.4 a@b.cc', None, "", "😀 AKIA" + "B" * 16 + " +1 (234) 555-6789", "4111 1111 1111 1111 or 10.0.0.256", "nothing"]
@@ -549,6 +563,13 @@ def test_language(docs, rng):
     assert [r["lang_pred"] for r in langid.identify(docs([(1, "text", None)], "doc_id long, text string, lang string")).collect()] == ["und"]
 
 
+def test_many_languages(docs, rng, monkeypatch):
+    """Of more languages than the sample has rows the most frequent are learned."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 2)
+    rows = [(k, prose(rng, "en" if k % 2 else "de"), "en" if k % 2 else "de") for k in range(40)] + [(100 + k, prose(rng), f"x{k}") for k in range(9)]
+    assert langid.train(docs(rows, "doc_id long, text string, lang string")).names == ["de", "en"]
+
+
 def test_kernel():
     """The presence kernel by sets of n-grams, where hashing leaves no collision to matter."""
     a, b = "the cat sat", "the cat ran"
