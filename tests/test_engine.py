@@ -59,10 +59,10 @@ def test_types(frame):
 
 
 def test_aggregates(spark):
-    frame = sources.from_numpy(spark, {"v": np.array([1, 2, 3, 4, 5], np.int64), "p": np.array([True, False, True, False, True])})
+    frame = sources.from_numpy(spark, {"v": np.array([4, 9, 2, 7, 6], np.int64), "p": np.array([False, True, True, False, True])})
     v, p = col("v"), col("p")
     got = cw.query(s=v.sum(), si=v.sum(p), pr=v.product(), pi=v.product(p), n=aggregate("count_if", p), lo=v.min(), hi=v.max(call("p_not", p)), x=v.xor_agg(), an=v.andnot_agg(), wide=v.sum_wide()).run(frame)
-    assert got.scalars.first().asDict() == {"s": 15, "si": 9, "pr": 120, "pi": 15, "n": 3, "lo": 1, "hi": 4, "x": 1, "an": ~7, "wide": 15}
+    assert got.scalars.first().asDict() == {"s": 28, "si": 17, "pr": 3024, "pi": 108, "n": 3, "lo": 2, "hi": 7, "x": 14, "an": ~15, "wide": 28}
     empty = cw.query(s=v.sum(), pr=v.product(), lo=v.min(), hi=v.max(), a=v.and_agg(), n=aggregate("count_if", p), al=aggregate("all", p), an=aggregate("any", p)).run(frame.where("v > 9"))
     assert empty.scalars.first().asDict() == {"s": 0, "pr": 1, "lo": 2**63 - 1, "hi": -(2**63), "a": -1, "n": 0, "al": True, "an": False}
 
@@ -90,23 +90,23 @@ def test_null_aggregates(spark):
 
 
 def test_grouped(spark):
-    frame = sources.from_numpy(spark, {"v": np.arange(1, 7, dtype=np.int32), "i": np.array([0, 1, 0, 1, 0, 1], np.int32), "p": np.array([True, False, True, True, False, True])})
+    frame = sources.from_numpy(spark, {"v": np.array([5, 1, 8, 2, 9, 4], np.int32), "i": np.array([1, 1, 0, 2, 0, 2], np.int32), "p": np.array([True, False, True, True, False, True])})
     v, i, p = col("v"), col("i"), col("p")
     t = {"t": cw.Target(3, 0), "ones": cw.Target(2, 1)}
     got = cw.query(s=v.sum(group_idx=i, table="t"), n=aggregate("count_if", p, group_idx=i, table="t"), m=v.max(p, group_idx=i, table="t"), r=v.product(group_idx=i, table="ones")).run(frame, tables=t)
-    assert got["s"] == [9, 12, 0] and got["n"] == [2, 2, 0] and got["m"] == [3, 6, 0] and got["r"] == [15, 48]
+    assert got["s"] == [17, 6, 6] and got["n"] == [1, 1, 2] and got["m"] == [8, 5, 4] and got["r"] == [72, 5]
     first = spark.createDataFrame([(0, 100), (1, 5), (2, 7)], "k int, v int")
-    assert cw.query(s=v.min(group_idx=i, table="t")).run(frame, tables={"t": first})["s"] == [1, 2, 7]
+    assert cw.query(s=v.min(group_idx=i, table="t")).run(frame, tables={"t": first})["s"] == [8, 1, 2]
 
 
 def test_order_shapes(spark):
-    frame = sources.from_numpy(spark, {"k": np.arange(5, dtype=np.int64), "v": np.array([10, 20, 30, 40, 50], np.int64), "i": np.array([3, 1, 0, 2, 3], np.int32), "p": np.array([True, False, True, False, True])}).repartition(3)
+    frame = sources.from_numpy(spark, {"k": np.arange(5, dtype=np.int64), "v": np.array([11, 7, 5, 3, 2], np.int64), "i": np.array([2, 0, 3, 0, 1], np.int32), "p": np.array([False, True, True, False, True])}).repartition(3)
     v = col("v")
     got = cw.query(packed=pack(v, col("p")), put=scatter(v, col("i")), some=scatter(v, col("i"), col("p"))).run(frame, order_by=["k"], tables={"put": cw.Target(5, -1), "some": cw.Target(4, 0)})
-    assert [tuple(r) for r in got.packed["packed"].orderBy("row").collect()] == [(0, 10), (2, 30), (4, 50)] and got["packed_size"] == 3
-    assert got["put"] == [30, 20, 40, 50, -1] and got["some"] == [30, 0, 0, 50]
+    assert [tuple(r) for r in got.packed["packed"].orderBy("row").collect()] == [(1, 7), (2, 5), (4, 2)] and got["packed_size"] == 3
+    assert got["put"] == [3, 2, 11, 5, -1] and got["some"] == [7, 2, 0, 5]
     at = cw.query(row=index(cw.I32), v=v).run(frame, order_by=["k"]).vectors
-    assert dict(at.dtypes)["row"] == "int" and sorted(map(tuple, at.collect())) == [(0, 10), (1, 20), (2, 30), (3, 40), (4, 50)]
+    assert dict(at.dtypes)["row"] == "int" and sorted(map(tuple, at.collect())) == [(0, 11), (1, 7), (2, 5), (3, 3), (4, 2)]
     with pytest.raises(cw.TypeMismatch):
         cw.query(row=index()).plan(frame)
 
