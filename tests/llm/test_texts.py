@@ -291,6 +291,31 @@ def test_contaminated(docs, spark, rng):
     assert decontaminate.decontaminate(docs(rows), bench.where("false")).count() == len(rows)
 
 
+def test_long_text_and_clashing_benchmark(docs, spark, rng):
+    """An edited item at the end of a text of over a million characters; a benchmark with columns of other tables' names."""
+    item = prose(rng, words=30)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string").selectExpr("*", "9 AS doc_id", "8 AS distance", "7 AS _id", "'x' AS value")
+    rows = [(1, prose(rng, "de", words=200_000) + " " + item.replace(" ", "  ", 3)[:-2] + "q " + "\n"), (2, prose(rng, "de", words=50)), (3, item[: len(item) // 2])]
+    got = decontaminate.contaminated(docs(rows), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 1)] and 0 < got[0]["distance"] <= 3
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs(rows), bench).select("doc_id").collect()) == [2, 3]
+
+
+def test_clashing_labels(docs, spark, rng):
+    rows = [(k, junk(rng) if k % 4 == 0 else prose(rng)) for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    clashing = labels.selectExpr("*", "1 AS _id", "2 AS _label", "'x' AS text", "3 AS score", "4 AS _doc", "5 AS _order")
+    assert quality.classify(docs(rows), clashing).collect() == quality.classify(docs(rows), labels).collect()
+
+
+def test_long_url(spark):
+    deep = "http://h.example.fr/" + "/".join(f"s{'abcdefgh'[k % 8]}" for k in range(3000))
+    rows = [(1, deep), (2, deep + "x"), (3, "http://h.example.fr/" + "p" * 200_000 + "?q#f"), (4, "http://" + "h" * 50_000 + ".com/en/1")]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == 4 and [got[k]["verdict"] for k in (1, 2, 3, 4)] == ["allow", "allow", "allow", "block"]
+    assert len(got[3]["path"]) == 200_001 and got[4]["rule"] == "com/en/"
+
+
 def test_benchmark_in_blocks(docs, spark, rng, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
     items = [(k, prose(rng, words=25)) for k in range(5)]
