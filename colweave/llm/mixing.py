@@ -108,14 +108,18 @@ def corpus(documents: DataFrame, id_column: str = "doc_id", text: str = "text",
     taken; an empty table gives no rows. Columns named size, taken or virtual_finish are replaced.
     """
     names = ["size", "taken", "virtual_finish"]
-    chosen = mix(documents, id_column, text, source).select(F.col("doc_id").alias("_m_id"), F.col("size").alias("_m_size"), *[F.col(n).alias(f"_m_{n}") for n in names[1:]])
-    turn = F.row_number().over(Window.partitionBy("_m_id", "_m_size").orderBy("_m_virtual_finish"))
+    named = lambda i: F.when(i.isNull(), "null").otherwise(F.concat(F.lit("id "), i.cast("string")))
+    mixed = mix(documents, id_column, text, source)
+    chosen = mixed.select(named(F.col("doc_id")).alias("_m_key"), *[F.col(n).alias(f"_m_{n}") for n in names])
+    turn = F.row_number().over(Window.partitionBy("_m_key", "_m_size").orderBy("_m_virtual_finish"))
     chosen = chosen.withColumn("_m_turn", turn).where("_m_taken > 0")
-    docs = documents.drop(*names).withColumn("_d_size", word_count(F.col(text)))
+    docs = documents.drop(*names).withColumn("_d_key", named(F.col(id_column))).withColumn("_d_size", word_count(F.col(text)))
     # Rows that differ in nothing are alike to the mix, so any order of them will do.
-    docs = docs.withColumn("_d_turn", F.row_number().over(Window.partitionBy(id_column, "_d_size").orderBy(F.xxhash64(F.col(text)))))
-    out = docs.join(chosen, docs[id_column].eqNullSafe(F.col("_m_id")) & (F.col("_d_size") == F.col("_m_size")) & (F.col("_d_turn") == F.col("_m_turn")))
-    return out.select(*[docs[c] for c in docs.columns if c not in ("_d_size", "_d_turn")], *[F.col(f"_m_{n}").alias(n) for n in names]).orderBy("virtual_finish")
+    docs = docs.withColumn("_d_turn", F.row_number().over(Window.partitionBy("_d_key", "_d_size").orderBy(F.xxhash64(F.col(text)))))
+    # The turns are compared beside the join's keys, so that texts stay where the window has them.
+    same = (F.col("_d_key") == F.col("_m_key")) & (F.col("_d_size") == F.col("_m_size")) & (F.col("_d_turn") - F.col("_m_turn") == 0)
+    kept = [docs[c] for c in documents.columns if c not in names]
+    return docs.join(chosen, same).select(*kept, *[F.col(f"_m_{n}").alias(n) for n in names]).orderBy("virtual_finish")
 
 
 #: DuckDB: the same mix from documents.
