@@ -33,10 +33,14 @@ SHARD = 4096
 HEAVY_VECTORS = 1000
 
 
-@functools.cache
+#: Rotations by dimensions, each made once a task.
+_ROTATIONS: dict[int, np.ndarray] = {}
+
+
 def rotation(dimensions: int) -> np.ndarray:
-    q, _ = np.linalg.qr(np.random.default_rng(11).normal(size=(dimensions, dimensions)))
-    return q
+    if dimensions not in _ROTATIONS:
+        _ROTATIONS[dimensions] = np.linalg.qr(np.random.default_rng(11).normal(size=(dimensions, dimensions)))[0]
+    return _ROTATIONS[dimensions]
 
 
 def blocks(dimensions: int) -> list[slice]:
