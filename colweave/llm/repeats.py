@@ -42,6 +42,8 @@ STEP = 40
 #: Length of the strings whose least hash is a window's key: longer ones make more runs, shorter ones more keys that common lines share.
 CORE = 96
 KEY_BYTES = 1 << 17
+#: Windows of a text that are dealt at once.
+STRETCH = 1 << 20
 SHARD_BYTES = 1 << 17
 TASK_BYTES = 1 << 19
 
@@ -209,11 +211,13 @@ def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows = []
         for k1, k2, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            for g, d, s, e, again in runs(text, CORE):
-                rows.append((g, d, k1, k2, s, e, again))
-                if len(rows) >= 65536:
-                    yield from _batches(rows, schema)
-                    rows = []
+            # By stretches, so that memory is bounded; a run that a border cuts is two.
+            for at in range(0, len(text) - LENGTH + 1, STRETCH):
+                for g, d, s, e, again in runs(text[at : at + STRETCH + LENGTH - 1], CORE):
+                    rows.append((g, d, k1, k2, at + s, at + e, again))
+                    if len(rows) >= 65536:
+                        yield from _batches(rows, schema)
+                        rows = []
         yield from _batches(rows, schema)
 
 

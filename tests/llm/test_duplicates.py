@@ -248,9 +248,10 @@ def repeated_corpus(rng):
     return [*texts, "".join(edited)]
 
 
-@pytest.mark.parametrize("key,task,shard", [(1 << 17, 1 << 19, 1 << 17), (600, 2000, 700), (0, 2000, 700)])
-def test_repeats(docs, rng, monkeypatch, key, task, shard):
-    """Compared, partly counted and all counted."""
+@pytest.mark.parametrize("key,task,shard,stretch", [(1 << 17, 1 << 19, 1 << 17, 1 << 20), (600, 2000, 700, 90), (0, 2000, 700, 1 << 20)])
+def test_repeats(docs, rng, monkeypatch, key, task, shard, stretch):
+    """Compared, partly counted and all counted; texts in one stretch and in many."""
+    monkeypatch.setattr(repeats, "STRETCH", stretch)
     monkeypatch.setattr(repeats, "KEY_BYTES", key)
     monkeypatch.setattr(repeats, "TASK_BYTES", task)
     monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
