@@ -40,6 +40,20 @@ def aggregate(*names: str):
     return add
 
 
+LIMB = 22
+
+
+def sum128(x: Column) -> Column:
+    """The exact sum of a bigint as decimal(38,0), null for no rows: three sums of 22 bits each, which stay bigints for 2^41 rows.
+
+    Sums of decimals make an object a row; these are compiled to plain additions and meet in a decimal once a group.
+    """
+    mask, step = F.lit((1 << LIMB) - 1).cast("bigint"), F.lit(1 << LIMB).cast("decimal(8,0)")
+    limbs = [F.shiftright(x, 2 * LIMB), F.shiftright(x, LIMB).bitwiseAND(mask), x.bitwiseAND(mask)]
+    high, middle, low = (F.sum(limb).cast("decimal(20,0)") for limb in limbs)
+    return ((high * step + middle) * step + low).cast("decimal(38,0)")
+
+
 def _where(v: Value, where: Column | None) -> Column:
     return v.column if where is None else F.when(where, v.column)
 
@@ -66,8 +80,7 @@ def sum_wide(ctx, args, where):
     """Sum of i64 in 128 bits, as decimal(38,0)."""
     v = ctx.value(args[0])
     need(v is not None and v.dtype.kind == "int", "sum_wide needs signed integers")
-    total = F.sum(_where(v, where).cast("decimal(20,0)")).cast("decimal(38,0)")
-    return Agg(I128, total, F.lit(0).cast("decimal(38,0)"), lambda a, b: (a + b).cast("decimal(38,0)"))
+    return Agg(I128, sum128(_where(v, where).cast("bigint")), F.lit(0).cast("decimal(38,0)"), lambda a, b: (a + b).cast("decimal(38,0)"))
 
 
 @aggregate("product")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import sum128
+
 # Fixed values of the fragments.
 SCALE = 10_000
 SHIP_UNTIL, SHIP_BELOW = 10_592, 24
@@ -21,8 +23,8 @@ def quotient(a: Column, by: int) -> Column:
 
 
 def wide_sum(x: Column, where: Column | None = None) -> Column:
-    x = x.cast("decimal(20,0)")
-    return F.sum(x if where is None else F.when(where, x)).cast("decimal(38,0)")
+    x = x.cast("bigint")
+    return sum128(x if where is None else F.when(where, x))
 
 
 def add(a: Column, b: Column) -> Column:

@@ -319,3 +319,11 @@ def test_inspection_of_json_and_snapshot(frame):
     shot = program.snapshot(frame)
     assert set(shot) == {"vectors", "scalars"} and shot["scalars"]["schema"] == "struct<s:int>"
     assert "Optimized Logical Plan" in shot["vectors"]["plans"] and "WholeStageCodegen" in shot["scalars"]["code"]
+
+
+def test_wide_sums_are_exact(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 500, dtype=np.int64), np.array([-(2**63)] * 7 + [2**63 - 1] * 9 + [0, -1, 1], np.int64)])
+    frame = sources.from_numpy(spark, {"v": values, "p": values % 3 == 0})
+    got = cw.query(all=col("v").sum_wide(), some=col("v").sum_wide(col("p")), none=col("v").sum_wide(col("v").is_null())).run(frame).scalars.first()
+    assert int(got["all"]) == sum(map(int, values)) and int(got["some"]) == sum(int(v) for v in values if v % 3 == 0) and int(got["none"]) == 0
