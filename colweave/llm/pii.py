@@ -36,7 +36,7 @@ LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwx
 SAMPLE_DOCUMENTS = 20_000
 SAMPLE_WINDOWS = 1500
 #: One in PLAIN of the sample's windows without a digit or an at sign is a candidate for the training set; POOL: see learn.
-PLAIN, POOL = 16, 8
+PLAIN, POOL = 4, 16
 WINDOW, STRIDE, CROP = 256, 224, 64
 #: Windows that are decoded at once, and characters of the texts that make them up.
 CHUNK, TOGETHER = 1024, 200_000
