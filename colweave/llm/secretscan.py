@@ -1,11 +1,12 @@
 """Secret scanning: fixed formats, and automata inferred from labelled credentials.
 
-Labelled are the credentials of each fixed kind in a bounded sample of documents, and
+Labelled are all credentials of each fixed kind in the documents, and
 examples of widely used formats (SHAPES), made by rule. The examples of a kind form
 a frequency prefix tree whose statistically compatible states are merged (ALERGIA,
 Carrasco and Oncina 1994; of several the one that explains the state best) into a
-probabilistic automaton with its final probabilities. Words of ordinary text, from
-the same sample, give a background model. Every token of LEAST characters or more of
+probabilistic automaton with its final probabilities. Of a table's credentials that tree
+is never held: rounds over all of them count, by state, what the next AHEAD characters are
+(see Growth). All words of ordinary text give a background model. Every token of LEAST characters or more of
 every document is a candidate; it becomes a span where the likelihood of its format under some automaton,
 end included, beats the background's by EVIDENCE.
 """
@@ -22,7 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPANS, Shared, Span, map_rows, outside, sample_rows, span_rows, stash
+from .common import SPANS, Shared, Span, map_rows, outside, span_rows, stash
 
 # Kinds in order, and the formats of the contract.
 KINDS = ["assign", "access", "hex", "format"]
@@ -49,13 +50,17 @@ SHAPES = {
     "upper hex": (("0123456789ABCDEF", 40),),
 }
 
-SAMPLE_DOCUMENTS = 20_000
-SAMPLE_TOKENS, SAMPLE_WORDS = 400, 4000
 EXAMPLES, WEIGHT = 100, 50
 LEAST = 12
+#: Credentials of a fixed kind without which no automaton of it is inferred.
+LEAST_EXAMPLES = 8
 ALPHA = 0.05
+#: Over a whole table: characters by which states are compared, and the difference of two shares that tells states apart however many credentials there are.
+AHEAD, APART = 2, 0.1
 #: In natural logarithms: in all, and a character.
 EVIDENCE, EVIDENCE_PER_CHARACTER = 16.0, 0.3
+#: What the background adds to each pair's count: SMOOTH, or a share of all pairs, so that it stays as sure on a larger table.
+SMOOTH, SMOOTH_SHARE = 0.5, 4e-6
 ALPHABET = 66
 
 
@@ -73,6 +78,15 @@ def candidates(text: str) -> list[Span]:
     return [(m.start(), m.end(), "format") for m in TOKEN.finditer(text) if m.end() - m.start() >= LEAST]
 
 
+def pairs_of(words: dict[str, int]) -> Counter:
+    """Character pairs of the words, each as often as documents have it, to a bound."""
+    out = Counter()
+    for w, n in words.items():
+        for k in range(len(w) - 1):
+            out[w[k : k + 2]] += min(n, WEIGHT)
+    return out
+
+
 class Automaton:
     """A probabilistic automaton as plain dicts: counts of visits, ends and moves by character."""
 
@@ -95,6 +109,13 @@ class Automaton:
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
 
+    @classmethod
+    def of(cls, states: list[tuple[int, int, dict[str, tuple[int, int]]]]) -> Automaton:
+        """From its states: visits, ends, and moves with their targets and counts."""
+        out = cls.__new__(cls)
+        out.states = states
+        return out
+
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > self.bound * (n1**-0.5 + n2**-0.5)
 
@@ -169,20 +190,92 @@ class Automaton:
         return total + math.log((ends + 0.1) / (n + 0.1 * (ALPHABET + 1)))
 
 
+#: What follows in one state: by the characters read since, up to AHEAD - 1, how often each next character came ("": the end).
+Follows = dict[str, Counter]
+
+
+class Growth:
+    """A probabilistic automaton that grows by rounds over all words of a table, whose prefix tree would grow with them.
+
+    A round reads every word up to its first move that leads nowhere yet (count) and adds up what follows in each state
+    and behind each such move: numbers bounded by the states and the alphabet. Such a move then becomes a state, or
+    leads to the state that is compatible and, by its visits too, explains it best (grow). Without such moves the counts are the automaton's.
+    """
+
+    def __init__(self) -> None:
+        self.moves: list[dict[str, int]] = [{}]
+
+    def count(self, word: str, seen: Counter) -> None:
+        """Add (state, move or "", what follows) of the word to seen; what follows has "" at its end if the word ends in it."""
+        at = 0
+        for k in range(len(word) + 1):
+            seen[at, "", word[k : k + AHEAD], k + AHEAD > len(word)] += 1
+            if k < len(word):
+                after = self.moves[at].get(word[k])
+                if after is None:
+                    seen[at, word[k], word[k + 1 : k + 1 + AHEAD], k + 1 + AHEAD > len(word)] += 1
+                    return
+                at = after
+
+    @staticmethod
+    def _differ(a: Follows, b: Follows) -> bool:
+        bound = math.sqrt(0.5 * math.log(2 / ALPHA))
+        for read in a.keys() & b.keys():
+            n, m = a[read].total(), b[read].total()
+            least = max(APART, bound * (n**-0.5 + m**-0.5))
+            if any(abs(a[read][c] / n - b[read][c] / m) > least for c in a[read].keys() | b[read].keys()):
+                return True
+        return False
+
+    @staticmethod
+    def _fit(a: Counter, b: Counter) -> float:
+        """Log likelihood of b under a."""
+        room = a.total() + 0.1 * (ALPHABET + 1)
+        return sum(n * math.log((a[c] + 0.1) / room) for c, n in sorted(b.items()))
+
+    def grow(self, seen: Iterable[tuple[int, str, str, bool, int]]) -> Automaton | None:
+        """The automaton, or None if moves were added, for another round. seen has the whole table's counts, each with its number."""
+        follows: dict[tuple[int, str], Follows] = {}
+        for at, move, word, ends, n in seen:
+            here = follows.setdefault((at, move), {})
+            for k, c in enumerate([*word, ""] if ends else word):
+                here.setdefault(word[:k], Counter())[c] += n
+        states = [follows.pop((k, "")) for k in range(len(self.moves))]
+        if not follows:
+            return Automaton.of(
+                [(f[""].total(), f[""][""], {c: (m[c], f[""][c]) for c in sorted(m)}) for f, m in zip(states, self.moves, strict=True)]
+            )
+        for (at, move), new in sorted(follows.items(), key=lambda x: (-x[1][""].total(), x[0])):
+            alike = [k for k, f in enumerate(states) if not self._differ(f, new)]
+            if alike:
+                best = max(alike, key=lambda k: self._fit(states[k][""], new[""]) + math.log(states[k][""].total()))
+                for read, after in new.items():
+                    states[best].setdefault(read, Counter()).update(after)
+            else:
+                best = len(states)
+                states.append(new)
+                self.moves.append({})
+            self.moves[at][move] = best
+        return None
+
+
 class Background:
     """Smoothed character pairs of ordinary words, each as often as documents have it, to a bound."""
 
     def __init__(self, words: dict[str, int]) -> None:
         self.pairs, self.firsts = Counter(), Counter()
-        for w, n in words.items():
-            for a, b in zip(w, w[1:], strict=False):
-                self.pairs[a, b] += min(n, WEIGHT)
-                self.firsts[a] += min(n, WEIGHT)
+        self.add(pairs_of(words))
+
+    def add(self, pairs: dict[str, int]) -> None:
+        for (a, b), n in pairs.items():
+            self.pairs[a, b] += n
+            self.firsts[a] += n
+        self.smooth = max(SMOOTH, SMOOTH_SHARE * self.pairs.total())
 
     def likelihood(self, word: str) -> float:
         total = math.log(1 / ALPHABET)
         for a, b in zip(word, word[1:], strict=False):
-            total += math.log((self.pairs[a, b] + 0.5) / (self.firsts[a] + 0.5 * ALPHABET))
+            total += math.log((self.pairs[a, b] + self.smooth) / (self.firsts[a] + self.smooth * ALPHABET))
         return total
 
 
@@ -190,7 +283,7 @@ class Grammar:
     """The automata by kind and the background."""
 
     def __init__(self, tokens: dict[str, list[str]], words: dict[str, int]) -> None:
-        kinds = {k: tokens[k] for k in KINDS[:3] if len(tokens.get(k, ())) >= 8}
+        kinds = {k: tokens[k] for k in KINDS[:3] if len(tokens.get(k, ())) >= LEAST_EXAMPLES}
         kinds |= {shape: examples(shape, random.Random(shape)) for shape in SHAPES}
         self.automata = {k: Automaton(words) for k, words in kinds.items()}
         self.background = Background(words)
@@ -212,25 +305,64 @@ class Grammar:
 
 
 def infer(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> Grammar:
-    """Learn from at most SAMPLE_TOKENS distinct tokens of each kind and SAMPLE_WORDS words that two documents have, in at most SAMPLE_DOCUMENTS documents."""
+    """Learn from all documents: every distinct credential of each fixed kind, and every word that two documents have.
+
+    The driver gets counts alone, by state and characters ahead or by pair of characters; their number does not grow with the table.
+    """
 
     def found(texts):
+        seen = Counter()
         for t in texts:
             base = base_spans(t or "")
             for a, b, k in base:
-                value = ASSIGN.match(t, a)[1] if k == "assign" else t[a:b]
-                yield k, value
-            words = {(m.start(), m.end(), "plain") for m in WORD.finditer(t or "")}
-            yield from {("plain", t[a:b]) for a, b, _ in outside(words, base)}
-
-    rows = map_rows(sample_rows(documents.select(id_column, F.col(text).alias("_text")), id_column, SAMPLE_DOCUMENTS).select("_text"), found, "kind string, token string")
-    rows = stash(rows.groupBy("kind", "token").agg(F.count("*").alias("n")))
-
-    def some(rows: DataFrame, most: int) -> dict[str, int]:
-        return dict(sorted((r["token"], r["n"]) for r in rows.orderBy(F.md5("token"), "token").limit(most).collect()))
-
-    tokens = {kind: list(some(rows.where(F.col("kind") == kind), SAMPLE_TOKENS)) for kind in KINDS[:3]}
-    return Grammar(tokens, some(rows.where("kind = 'plain' and n > 1"), SAMPLE_WORDS))
+                seen[k, ASSIGN.match(t, a)[1] if k == "assign" else t[a:b]] += 1
+            if base:
+                words = outside({(m.start(), m.end(), "plain") for m in WORD.finditer(t)}, base)
+                seen.update({("plain", t[a:b]) for a, b, _ in words})
+            else:
+                seen.update([("plain", w) for w in set(WORD.findall(t or ""))])
+        return ((k, w, n) for (k, w), n in seen.items())
+
+    rows = map_rows(documents.select(F.col(text).alias("_text")), found, "kind string, token string, n long")
+    rows = stash(rows.groupBy("kind", "token").agg(F.sum("n").alias("n")).where("kind <> 'plain' or n > 1"))
+
+    def pairs(words, numbers):
+        return pairs_of(dict(zip(words, numbers, strict=True))).items()
+
+    grammar = Grammar({}, {})
+    counted = map_rows(rows.where("kind = 'plain'").select("token", "n"), pairs, "pair string, n long")
+    grammar.background.add({r["pair"]: r["n"] for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect()})
+    tokens = rows.where("kind <> 'plain'").select("kind", "token")
+    enough = {r["kind"] for r in tokens.groupBy("kind").count().collect() if r["count"] >= LEAST_EXAMPLES}
+    grammar.automata = grow(tokens, [k for k in KINDS if k in enough]) | grammar.automata
+    return grammar
+
+
+def grow(tokens: DataFrame, kinds: list[str]) -> dict[str, Automaton]:
+    """The automata of the kinds, inferred from all tokens, each with its kind; a round of all kinds is one pass."""
+    out: dict[str, Automaton] = {}
+    growing = {k: Growth() for k in kinds}
+    keys = ["kind", "at", "move", "word", "ends"]
+    while growing:
+        shared = Shared(tokens.sparkSession, growing)
+
+        def count(kinds, words, shared=shared):
+            seen = {k: Counter() for k in shared.value}
+            for k, w in zip(kinds, words, strict=True):
+                if k in seen:
+                    shared.value[k].count(w, seen[k])
+            return ((k, *key, n) for k, counts in seen.items() for key, n in counts.items())
+
+        rows = map_rows(tokens, count, "kind string, at int, move string, word string, ends boolean, n long")
+        seen: dict[str, list[tuple]] = {k: [] for k in growing}
+        for r in rows.groupBy(*keys).agg(F.sum("n").alias("n")).collect():
+            seen[r["kind"]].append(tuple(r)[1:])
+        for k, counts in seen.items():
+            done = growing[k].grow(counts)
+            if done:
+                out[k] = done
+                del growing[k]
+    return {k: out[k] for k in kinds}
 
 
 def scan(documents: DataFrame, id_column: str = "doc_id", text: str = "text", model: Grammar | None = None) -> DataFrame:

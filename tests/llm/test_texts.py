@@ -1,7 +1,9 @@
 """Scanners, classifiers, decontamination, mixing, URLs and the pipeline."""
 
+import collections
 import hashlib
 import os
+import random
 import re
 import subprocess
 import sys
@@ -94,6 +96,48 @@ def test_grammar_tells_formats(rng):
     assert automaton.likelihood("key-xxxxxxxx") > automaton.likelihood("key-xxxx") + 2
 
 
+def test_secrets_are_learned_from_the_whole_table(docs, rng):
+    """Every credential and every word of two documents counts, without an id too; the counts are those of the plain prefix tree."""
+    tokens = [secret(rng) for _ in range(900)]
+    words = ["".join(rng.choice("etaoinshr") for _ in range(8)) for _ in range(6000)]
+    rows = [(None if k % 3 else k, f"{t} {t} {' '.join(words[k % 450 :: 450])}") for k, t in enumerate(tokens)]
+    grammar = secretscan.infer(docs(rows))
+    states = grammar.automata["hex"].states
+    assert sum(ends for _, ends, _ in states) == len(set(tokens))
+    assert sum(n for n, _, _ in states) == sum(len(t) + 1 for t in tokens)
+    times = collections.Counter(w for _, t in rows for w in set(t.split()[2:]))
+    pairs = collections.Counter()
+    for w, n in times.items():
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[a, b] += min(n, secretscan.WEIGHT)
+    assert grammar.background.pairs == pairs and len(times) > 5900
+
+
+def grown(words):
+    growth, automaton = secretscan.Growth(), None
+    while automaton is None:
+        seen = collections.Counter()
+        for w in words:
+            growth.count(w, seen)
+        automaton = growth.grow([(*k, n) for k, n in seen.items()])
+    assert sum(ends for _, ends, _ in automaton.states) == len(words)
+    assert sum(n for n, _, _ in automaton.states) == sum(len(w) + 1 for w in words)
+    assert all(n == ends + sum(k for _, k in moves.values()) for n, ends, moves in automaton.states)
+    return automaton
+
+
+def test_growth_by_rounds():
+    """Automata by rounds over all words are as likely to make them as those of the whole prefix tree."""
+    rng = random.Random(5)
+    for words in ([secret(rng) for _ in range(300)], ["ab" * k for k in range(1, 60)], secretscan.examples("github", rng, 400)):
+        automaton, plain = grown(words), secretscan.Automaton(words)
+        assert all(abs(automaton.likelihood(w) - plain.likelihood(w)) < 0.1 * len(w) + 1 for w in words), (automaton.states, plain.states)
+    # A prefix keeps states of its own; what comes after a fork is told apart.
+    automaton = grown(["key-" + "x" * 8] * 50 + ["key-" + "y" * 8] * 50)
+    assert len(automaton.states) > 6
+    assert automaton.likelihood("key-xxxxxxxx") > automaton.likelihood("key-xxxxyyyy") + 2
+
+
 def test_secrets_beyond_the_formats(docs, rng):
     """Credentials that no fixed format knows, planted in prose: nine of ten are found whole, and nothing else."""
     rows, planted = [], {}
