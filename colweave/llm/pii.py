@@ -40,6 +40,8 @@ PLAIN, POOL = 4, 16
 WINDOW, STRIDE, CROP = 256, 224, 64
 #: Windows that are decoded at once, and characters of the texts that make them up.
 CHUNK, TOGETHER = 1024, 200_000
+#: Characters whose scores are turned at once, to stay in a core's cache.
+BLOCK = 8
 HIDDEN, STEPS, BATCH, LEARN = 10, 800, 64, 0.02
 SURE = 0.9
 SYMBOLS = 129
@@ -232,7 +234,36 @@ class Tagger:
         return e
 
     def plain(self, e: np.ndarray) -> np.ndarray:
-        """Windows whose best path is plain text throughout, by the paths' scores alone; they are taken above that path's, which is 0."""
+        """Windows whose best path is plain text throughout, by the paths' scores alone; they are taken above that path's, which is 0.
+
+        Most are told by a bound on all paths, in which each character has the best of the kinds; the others' paths are followed.
+        """
+        out = self._below(e)
+        rest = np.flatnonzero(~out)
+        if len(rest):
+            out[rest] = self._plain(e[:, rest])
+        return out
+
+    def _below(self, e: np.ndarray) -> np.ndarray:
+        """Windows in which no run of tagged characters can have a score above -0.001.
+
+        A run begins after a path of 0 at most, so bound is the best that can end in each character.
+        """
+        move = self.p["t"] + ALLOWED - self.p["t"][0, 0]
+        best = move.max(0)
+        best[0] = 0
+        bound = (e[0, :, 1:] - e[0, :, :1]).max(1)
+        top = bound.copy()
+        for at in range(1, len(e), BLOCK):
+            part = np.ascontiguousarray((e[at : at + BLOCK] + best).transpose(2, 0, 1))
+            begin, inside = part[1::2].max(0) - part[0], part[2::2].max(0) - part[0]
+            for t in range(len(begin)):
+                bound = np.maximum(begin[t], inside[t] + bound)
+                np.maximum(top, bound, out=top)
+        return top + max(0.0, float(move[1:, 0].max())) <= -1e-3
+
+    def _plain(self, e: np.ndarray) -> np.ndarray:
+        """As plain, by following the paths of every window."""
         move = (self.p["t"] + ALLOWED - self.p["t"][0, 0])[:, :, None]
         e = np.ascontiguousarray((e - e[:, :, :1]).transpose(0, 2, 1))
         score = e[0]
@@ -244,15 +275,22 @@ class Tagger:
         """For each window its best tags and, by character, the probability that the tag is not plain text's."""
         tags, sure = np.zeros(codes.shape, np.uint8), np.zeros(codes.shape, np.float32)
         for k in range(0, len(codes), CHUNK):
-            e = self.emissions(codes[k : k + CHUNK])
-            rows = np.flatnonzero(~self.plain(e))
+            rows, e = self.suspects(codes[k : k + CHUNK])
             if len(rows):
-                part = np.ascontiguousarray(e[:, rows])
-                tags[k + rows] = self.decode(part)
-                ahead, behind, total = self.passes(part)
-                sure[k + rows] = 1 - np.exp(ahead[:, :, 0] + behind[:, :, 0] - total).T
+                tags[k + rows], sure[k + rows] = self.marks(e)
         return tags, sure
 
+    def suspects(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that are not plain, and their emissions."""
+        e = self.emissions(codes)
+        rows = np.flatnonzero(~self.plain(e))
+        return rows, np.ascontiguousarray(e[:, rows])
+
+    def marks(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As spans, from emissions."""
+        ahead, behind, total = self.passes(e)
+        return self.decode(e), 1 - np.exp(ahead[:, :, 0] + behind[:, :, 0] - total).T
+
     def passes(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log sums over the paths up to and from each character, and over all."""
         move = self.p["t"] + ALLOWED
@@ -361,29 +399,51 @@ class Finder:
         self.tagger = tagger
 
     def learned(self, texts: list[str]) -> Iterator[list[Span]]:
-        """The network's spans for each text; the windows of a run of texts are decoded together."""
-        windows = [cut(symbols(t)) for t in texts]
-        tags, sure = self.tagger.spans(np.concatenate(windows)) if windows else (None, None)
-        at = 0
-        for t, w in zip(texts, windows, strict=True):
-            mine = slice(at, at + len(w))
-            at += len(w)
-            yield spans_of(t, reconcile(len(t), tags[mine]), reconcile(len(t), sure[mine])) if tags[mine].any() else []
+        """The network's spans for each text.
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
-        """(fixed, added) spans for each text."""
-        part: list[str] = []
-        size = 0
+        The windows of a run of texts go through the network together; those that are not plain wait for CHUNK of them.
+        """
+        part: list[np.ndarray] = []
+        waiting: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
+        size = done = 0
         for k, t in enumerate(texts):
-            part.append(t)
+            part.append(cut(symbols(t)))
             size += len(t)
             if size < TOGETHER and k + 1 < len(texts):
                 continue
-            more = self.learned(part) if self.tagger else ([] for _ in part)
-            for t, found in zip(part, more, strict=True):
-                base = base_spans(t)
-                yield base, outside(found, base)
+            windows = np.concatenate(part)
+            found = [(at + rows, e) for at in range(0, len(windows), CHUNK) for rows, e in [self.tagger.suspects(windows[at : at + CHUNK])]]
+            found = found or [(np.zeros(0, int), np.zeros((WINDOW, 0, TAGS), np.float32))]
+            waiting.append((part, np.concatenate([rows for rows, _ in found]), np.concatenate([e for _, e in found], 1)))
             part, size = [], 0
+            if sum(len(rows) for _, rows, _ in waiting) >= CHUNK or k + 1 == len(texts):
+                yield from self._spans(texts[done : k + 1], waiting)
+                waiting, done = [], k + 1
+
+    def _spans(self, texts: list[str], waiting: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]) -> Iterator[list[Span]]:
+        """The spans of texts, whose windows wait in parts, each with the rows that are not plain and their emissions."""
+        sizes = np.cumsum([0, *(len(w) for part, _, _ in waiting for w in part)])
+        starts = np.cumsum([0, *(sum(map(len, part)) for part, _, _ in waiting)])
+        rows = np.concatenate([at + r for at, (_, r, _) in zip(starts, waiting, strict=False)])
+        e = np.concatenate([e for _, _, e in waiting], 1)
+        waiting.clear()
+        marks = [self.tagger.marks(e[:, k : k + CHUNK]) for k in range(0, len(rows), CHUNK)]
+        tags, sure = (np.concatenate([m[j] for m in marks]) if marks else None for j in (0, 1))
+        for t, a, b in zip(texts, sizes[:-1], sizes[1:], strict=True):
+            first, last = np.searchsorted(rows, (a, b))
+            if first == last:
+                yield []
+                continue
+            mine, certain = np.zeros((b - a, WINDOW), np.uint8), np.zeros((b - a, WINDOW), np.float32)
+            mine[rows[first:last] - a], certain[rows[first:last] - a] = tags[first:last], sure[first:last]
+            yield spans_of(t, reconcile(len(t), mine), reconcile(len(t), certain)) if mine.any() else []
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
+        """(fixed, added) spans for each text."""
+        more = self.learned(texts) if self.tagger else ([] for _ in texts)
+        for t, found in zip(texts, more, strict=True):
+            base = base_spans(t)
+            yield base, outside(found, base)
 
 
 def examples(text: str) -> Iterator[tuple[int, bytes, bytes]]:

@@ -138,6 +138,43 @@ def test_growth_by_rounds():
     assert automaton.likelihood("key-xxxxxxxx") > automaton.likelihood("key-xxxxyyyy") + 2
 
 
+def test_plain_windows_by_a_bound():
+    """What the bound tells as plain is plain by every path, from the first character on; what waits for others is marked as alone."""
+    rng = np.random.default_rng(4)
+    tagger = pii.Tagger.__new__(pii.Tagger)
+    told = 0
+    for k in range(40):
+        tagger.p = {"t": rng.normal(0, 1.5, (pii.TAGS, pii.TAGS)).astype(np.float32)}
+        e = rng.normal(0, 1, (30, 64, pii.TAGS)).astype(np.float32)
+        e[:, :, 0] += rng.uniform(0, 9, 64).astype(np.float32)
+        e[0] += rng.normal(0, 2, (64, pii.TAGS)).astype(np.float32)
+        below = tagger._below(e)
+        told += below.sum()
+        assert not tagger.decode(e)[below].any()
+        assert (tagger.plain(e) == tagger._plain(e)).all() and (tagger.plain(e) == ~tagger.decode(e).any(1)).all()
+    assert 100 < told < 40 * 64
+
+
+def test_texts_marked_together(monkeypatch):
+    """Spans of texts are those of each text alone, however the windows are dealt; fewer passes over the paths are made than runs of texts."""
+    rng = random.Random(6)
+    texts = [f"{prose(rng, words=80 * (k % 5))} mail u{k} at mail dot example dot com {prose(rng, words=30)}" if k % 7 else "" for k in range(60)]
+    known = [f"{prose(rng)} u{k}@mail.example.com {prose(rng)}" for k in range(150)]
+    got = [x for t in known for x in pii.examples(t) if x[0] >= 2]
+    w, y = (np.frombuffer(b"".join(x[j] for x in got), np.uint8).reshape(-1, pii.WINDOW) for j in (1, 2))
+    monkeypatch.setattr(pii, "STEPS", 200)
+    finder = pii.Finder(pii.Tagger(w, y.astype(np.int64)))
+    alone = [list(finder.learned([t]))[0] for t in texts]
+    assert sum(map(bool, alone)) > 10 and list(finder.learned([])) == []
+    calls = []
+    plain = pii.Tagger.passes
+    monkeypatch.setattr(pii.Tagger, "passes", lambda self, e: calls.append(e.shape[1]) or plain(self, e))
+    monkeypatch.setattr(pii, "TOGETHER", 2000)
+    assert list(finder.learned(texts)) == alone and len(calls) == 1
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    assert list(finder.learned(texts)) == alone and max(calls[1:]) <= 3
+
+
 def test_secrets_beyond_the_formats(docs, rng):
     """Credentials that no fixed format knows, planted in prose: nine of ten are found whole, and nothing else."""
     rows, planted = [], {}
