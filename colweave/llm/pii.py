@@ -28,8 +28,9 @@ from .common import SPANS, Shared, Span, map_rows, outside, sample_rows, span_ro
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
+# Patterns that begin with a set of characters are searched for fastest. DIGITS takes whole runs of digits, those of no ip too, so that none is entered in its middle.
+DIGITS = re.compile(r"[0-9][0-9]*(\.[0-9]+\.[0-9]+\.[0-9]+)?")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -40,7 +41,7 @@ PLAIN, POOL = 4, 16
 WINDOW, STRIDE, CROP = 256, 224, 64
 #: Windows that are decoded at once, and characters of the texts that make them up.
 CHUNK, TOGETHER = 1024, 200_000
-#: Characters whose scores are turned at once, to stay in a core's cache.
+#: Characters whose scores are compared at once, to stay in a core's cache.
 BLOCK = 8
 HIDDEN, STEPS, BATCH, LEARN = 10, 800, 64, 0.02
 SURE = 0.9
@@ -75,8 +76,8 @@ def _digits(text: str) -> str:
 
 def base_spans(text: str) -> list[Span]:
     out = list(_emails(text))
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
+    for m in DIGITS.finditer(text):
+        if m[1] and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         d = _digits(m[0])
@@ -205,33 +206,40 @@ class Tagger:
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         """Scores of the tags by character and window. As two runs of _run, but both directions step together.
 
-        Half of the sigmoids' arguments is in the weights, so that one tanh serves all gates.
+        A gate's values of all windows lie side by side, the sigmoids' gates first. Half of the sigmoids' arguments is in the
+        weights, so that one tanh serves all gates; their values and the states are kept doubled, and later weights halved.
         """
         h, (n, length), kind = HIDDEN, codes.shape, self.p["o"].dtype
+        order = np.r_[: 2 * h, 3 * h : 4 * h, 2 * h : 3 * h]
         half = np.full(4 * h, 0.5, kind)
-        half[2 * h : 3 * h] = 1
-        inputs = [np.ascontiguousarray(self.p[f"x{d}"] * half) for d in (0, 1)]
-        weights = np.stack([self.p[f"h{d}"] * half for d in (0, 1)])
+        half[3 * h :] = 1
+        inputs = [np.ascontiguousarray(self.p[f"x{d}"][:, order] * half) for d in (0, 1)]
+        weights = np.stack([(self.p[f"h{d}"][:, order] * half).T for d in (0, 1)]) / 2
+        scores = np.ascontiguousarray(self.p["o"].reshape(2, h, TAGS).transpose(0, 2, 1)) / 2
         places = np.ascontiguousarray(codes.T).astype(np.intp)
-        out = np.empty((2, length, n, h), kind)
-        state, cell, squashed = (np.zeros((2, n, h), kind) for _ in range(3))
-        z, gates = (np.empty((2, n, 4 * h), kind) for _ in range(2))
+        e, part = np.zeros((length, TAGS, n), kind), np.empty((2, TAGS, n), kind)
+        state, cell, squashed = (np.zeros((2, h, n), kind) for _ in range(3))
+        taken, z = np.empty((2, n, 4 * h), kind), np.empty((2, 4 * h, n), kind)
+        turned = taken.transpose(0, 2, 1)
+        gates, (i, f, o, new) = z[:, : 3 * h], (z[:, k : k + h] for k in range(0, 4 * h, h))
         for t in range(length):
-            np.take(inputs[0], places[t], 0, out=z[0], mode="clip")
-            np.take(inputs[1], places[length - 1 - t], 0, out=z[1], mode="clip")
-            z += np.matmul(state, weights, out=gates)
+            np.take(inputs[0], places[t], 0, out=taken[0], mode="clip")
+            np.take(inputs[1], places[length - 1 - t], 0, out=taken[1], mode="clip")
+            np.matmul(weights, state, out=z)
+            z += turned
             np.tanh(z, out=z)
-            np.multiply(z, 0.5, out=gates)
-            gates += 0.5
-            cell *= gates[:, :, h : 2 * h]
-            cell += gates[:, :, :h] * z[:, :, 2 * h : 3 * h]
+            gates += 1
+            cell *= f
+            i *= new
+            cell += i
+            cell *= 0.5
             np.tanh(cell, out=squashed)
-            np.multiply(gates[:, :, 3 * h :], squashed, out=state)
-            out[0, t], out[1, length - 1 - t] = state[0], state[1]
-        e = out[0] @ self.p["o"][:h]
-        e += out[1] @ self.p["o"][h:]
-        e += self.p["b"]
-        return e
+            np.multiply(o, squashed, out=state)
+            np.matmul(scores, state, out=part)
+            e[t] += part[0]
+            e[length - 1 - t] += part[1]
+        e += self.p["b"][:, None]
+        return e.transpose(0, 2, 1)
 
     def plain(self, e: np.ndarray) -> np.ndarray:
         """Windows whose best path is plain text throughout, by the paths' scores alone; they are taken above that path's, which is 0.
@@ -255,7 +263,7 @@ class Tagger:
         bound = (e[0, :, 1:] - e[0, :, :1]).max(1)
         top = bound.copy()
         for at in range(1, len(e), BLOCK):
-            part = np.ascontiguousarray((e[at : at + BLOCK] + best).transpose(2, 0, 1))
+            part = (e[at : at + BLOCK] + best).transpose(2, 0, 1)
             begin, inside = part[1::2].max(0) - part[0], part[2::2].max(0) - part[0]
             for t in range(len(begin)):
                 bound = np.maximum(begin[t], inside[t] + bound)
@@ -276,14 +284,15 @@ class Tagger:
         tags, sure = np.zeros(codes.shape, np.uint8), np.zeros(codes.shape, np.float32)
         for k in range(0, len(codes), CHUNK):
             rows, e = self.suspects(codes[k : k + CHUNK])
-            if len(rows):
-                tags[k + rows], sure[k + rows] = self.marks(e)
+            some = np.flatnonzero(~self._plain(e))
+            if len(some):
+                tags[k + rows[some]], sure[k + rows[some]] = self.marks(e[:, some])
         return tags, sure
 
     def suspects(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows that are not plain, and their emissions."""
+        """The windows that the bound does not tell to be plain, and their emissions."""
         e = self.emissions(codes)
-        rows = np.flatnonzero(~self.plain(e))
+        rows = np.flatnonzero(~self._below(e))
         return rows, np.ascontiguousarray(e[:, rows])
 
     def marks(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -401,7 +410,7 @@ class Finder:
     def learned(self, texts: list[str]) -> Iterator[list[Span]]:
         """The network's spans for each text.
 
-        The windows of a run of texts go through the network together; those that are not plain wait for CHUNK of them.
+        The windows of a run of texts go through the network together; those that the bound leaves wait for CHUNK of them.
         """
         part: list[np.ndarray] = []
         waiting: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
@@ -412,7 +421,8 @@ class Finder:
             if size < TOGETHER and k + 1 < len(texts):
                 continue
             windows = np.concatenate(part)
-            found = [(at + rows, e) for at in range(0, len(windows), CHUNK) for rows, e in [self.tagger.suspects(windows[at : at + CHUNK])]]
+            step = -(-len(windows) // max(1, -(-len(windows) // CHUNK))) or 1  # equal chunks: a small rest would take a chunk's calls
+            found = [(at + rows, e) for at in range(0, len(windows), step) for rows, e in [self.tagger.suspects(windows[at : at + step])]]
             found = found or [(np.zeros(0, int), np.zeros((WINDOW, 0, TAGS), np.float32))]
             waiting.append((part, np.concatenate([rows for rows, _ in found]), np.concatenate([e for _, e in found], 1)))
             part, size = [], 0
@@ -421,12 +431,14 @@ class Finder:
                 waiting, done = [], k + 1
 
     def _spans(self, texts: list[str], waiting: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]) -> Iterator[list[Span]]:
-        """The spans of texts, whose windows wait in parts, each with the rows that are not plain and their emissions."""
+        """The spans of texts, whose windows wait in parts, each with the rows that the bound leaves and their emissions."""
         sizes = np.cumsum([0, *(len(w) for part, _, _ in waiting for w in part)])
         starts = np.cumsum([0, *(sum(map(len, part)) for part, _, _ in waiting)])
         rows = np.concatenate([at + r for at, (_, r, _) in zip(starts, waiting, strict=False)])
         e = np.concatenate([e for _, _, e in waiting], 1)
         waiting.clear()
+        some = np.concatenate([k + np.flatnonzero(~self.tagger._plain(e[:, k : k + CHUNK])) for k in range(0, len(rows), CHUNK)] or [np.zeros(0, int)])
+        rows, e = rows[some], e[:, some]
         marks = [self.tagger.marks(e[:, k : k + CHUNK]) for k in range(0, len(rows), CHUNK)]
         tags, sure = (np.concatenate([m[j] for m in marks]) if marks else None for j in (0, 1))
         for t, a, b in zip(texts, sizes[:-1], sizes[1:], strict=True):

@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -155,6 +156,41 @@ def test_plain_windows_by_a_bound():
     assert 100 < told < 40 * 64
 
 
+def test_scores_in_little_memory():
+    """Scores are those of two runs, one a direction, and no states of the whole windows are held beside them."""
+    rng = np.random.default_rng(5)
+    tagger = pii.Tagger.__new__(pii.Tagger)
+    h = pii.HIDDEN
+    sizes = {"x0": (pii.SYMBOLS, 4 * h), "x1": (pii.SYMBOLS, 4 * h), "h0": (h, 4 * h), "h1": (h, 4 * h), "o": (2 * h, pii.TAGS), "b": (pii.TAGS,)}
+    tagger.p = {k: rng.normal(0, 1, s).astype(np.float32) for k, s in sizes.items()}
+    for n in (0, 1, 37):
+        codes = rng.integers(0, pii.SYMBOLS, (n, 50)).astype(np.uint8)
+        states = np.concatenate([tagger._run(codes, d) for d in (0, 1)], 2)
+        got = tagger.emissions(codes)
+        assert got.shape == (50, n, pii.TAGS) and np.allclose(got, states @ tagger.p["o"] + tagger.p["b"], atol=1e-3)
+    codes = rng.integers(0, pii.SYMBOLS, (512, pii.WINDOW)).astype(np.uint8)
+    tracemalloc.start()
+    e = tagger.emissions(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * e.nbytes
+
+
+def test_few_calls_for_many_windows(monkeypatch):
+    """Windows go through the network in equal chunks, without a small rest; paths are followed once for all that the bound leaves."""
+    sizes, paths = [], []
+    tagger = pii.Tagger.__new__(pii.Tagger)
+    tagger.p = {"t": np.zeros((pii.TAGS, pii.TAGS), np.float32)}
+    monkeypatch.setattr(pii, "CHUNK", 10)
+    monkeypatch.setattr(pii, "TOGETHER", 2000)
+    monkeypatch.setattr(tagger, "emissions", lambda codes: sizes.append(len(codes)) or np.zeros((pii.WINDOW, len(codes), pii.TAGS), np.float32), raising=False)
+    monkeypatch.setattr(tagger, "_below", lambda e: np.arange(e.shape[1]) > 0, raising=False)
+    monkeypatch.setattr(tagger, "_plain", lambda e: paths.append(e.shape[1]) or np.ones(e.shape[1], bool), raising=False)
+    texts = ["x" * (pii.WINDOW + 10 * pii.STRIDE)] * 3
+    assert list(pii.Finder(tagger).learned(texts)) == [[], [], []]
+    assert sizes == [6, 5] * 3 and paths == [6]
+
+
 def test_texts_marked_together(monkeypatch):
     """Spans of texts are those of each text alone, however the windows are dealt; fewer passes over the paths are made than runs of texts."""
     rng = random.Random(6)
